@@ -131,6 +131,24 @@ def _settled(kind: Kind, a, c, d, v, pos) -> np.ndarray:
     return later | (v != v[start]) | (pos != pos[start]) if kind.inside else later
 
 
+def _found(what: int, a, c, d, v, pos, left, right) -> pa.RecordBatch:
+    columns = (np.full(len(a), what, np.int8), a, c, d, v, pos, left.astype(np.int32), right.astype(np.int32))
+    return pa.record_batch([pa.array(x, f.type) for x, f in zip(columns, _FOUND, strict=True)], schema=_FOUND)
+
+
+def _joined(d, v, a, b) -> tuple:
+    """Spans as rows of _FOUND, those that overlap in a document as one; dealt out by their place, as no gram needs them."""
+    o = _order(d, v, a)
+    d, v, a, b = d[o], v[o], a[o], b[o]
+    document = np.cumsum(_new(d, v)) * (int(b.max()) + 1)
+    reach = np.maximum.accumulate(document + b)
+    first = np.flatnonzero(np.r_[True, (document + a)[1:] > reach[:-1]])
+    end = (reach - document)[np.r_[first[1:] - 1, len(a) - 1]]
+    d, v, a = d[first], v[first], a[first]
+    key = C.mix(d.view(np.uint64) ^ C.mix(a.astype(np.uint64))).view(np.int64)
+    return key, key, d, v, a, np.zeros(len(a)), end - a
+
+
 def _scan(kind: Kind):
     def scan(batches):
         for batch in batches:
@@ -146,7 +164,10 @@ def _scan(kind: Kind):
                 o = _order(a, c, d, v, pos)
                 a, c, d, v, pos, left, right = (x[o] for x in (a, c, d, v, pos, left, right))
                 same = _settled(kind, a, c, d, v, pos)
-                yield pa.record_batch([pa.array(x, f.type) for x, f in zip((np.where(same, COVERED, ANCHOR).astype(np.int8), a, c, d, v, pos, left.astype(np.int32), right.astype(np.int32)), _FOUND, strict=True)], schema=_FOUND)
+                go = ~same
+                yield _found(ANCHOR, a[go], c[go], d[go], v[go], pos[go], left[go], right[go])
+                if same.any():
+                    yield _found(COVERED, *_joined(d[same], v[same], pos[same] - left[same], pos[same] + right[same]))
 
     return scan
 
