@@ -8,6 +8,7 @@ round no longer saves anything. A row is a bin with its pieces (ids and lengths,
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Strings whose ids a Python worker keeps at most; what one call needs comes on top.
-_CACHE_STRINGS = 500_000
+_CACHE_STRINGS = 800_000
 #: As in the tokenizer's own split; special strings are cut out before.
 _WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
@@ -34,31 +35,57 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.normalise = self.library.normalizer.normalize_str
         self.words_in = regex.compile(_WORD_PATTERN).findall
         self.special = regex.compile("|".join(regex.escape(t.content) for t in self.library.get_added_tokens_decoder().values())).search
-        self.odd = re.compile(r"[\x1c-\x1f]").search  # str.split() takes these for white space
+        self.odd = re.compile(r"[\x1c-\x1f\x85\xa0]").search  # white space that not all take for it
+        # For words, normalised and with a space between them: the same model without the work already done.
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        mark = json.loads(self.model.to_str())["model"]["end_of_word_suffix"] or ""
+        ids = self.model.get_vocab()
+        self.ends_word = np.zeros(max(ids.values()) + 1, bool)
+        self.ends_word[[i for token, i in ids.items() if mark and token.endswith(mark)]] = True
         self.words: dict[str, bytes] = {}
         self.strings: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
-        if text.isascii() and not self.odd(text):
-            return text.lower().split()
+        """The normalised text's strings between spaces."""
+        if not self.odd(text):
+            try:
+                text.encode("latin-1")  # of these characters none composes with another
+                return text.lower().split()
+            except UnicodeEncodeError:
+                pass
         return [x for x in self.normalise(text).split(" ") if x]
 
-    def learn(self, strings: list[str]) -> None:
+    def parts(self, x: str) -> list[str]:
+        """The words of a string without spaces."""
+        if x.isalpha():
+            return [x]
+        if x[-1] in ",." and x[:-1].isalpha():
+            return [x[:-1], x[-1]]
+        return self.words_in(x)
+
+    def learn(self, strings: set[str]) -> None:
         """Afterwards self.strings has the ids of all of these."""
-        new = {x: self.words_in(x) for x in strings}
+        new = {x: self.parts(x) for x in strings}
         words = [w for w in dict.fromkeys(w for ws in new.values() for w in ws) if w not in self.words]
         for at in range(0, len(words), 50_000):
             part = words[at : at + 50_000]
-            e = self.library.encode(" ".join(part), add_special_tokens=False)
-            first = (np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1)) * 4).tolist()
-            ids = np.array(e.ids, "<u4").tobytes()
-            self.words.update((w, ids[i:j]) for w, i, j in zip(part, first, first[1:], strict=False))
+            text = " ".join(part)
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part):  # a mark of a word's end stands elsewhere too
+                e = self.model.encode(text, add_special_tokens=False)
+                ends = np.searchsorted(np.array(e.word_ids), np.arange(len(part)), side="right")
+            ends = (4 * ends).tolist()
+            raw = ids.tobytes()
+            self.words.update((w, raw[i:j]) for w, i, j in zip(part, [0, *ends], ends, strict=False))
         known = self.words
         self.strings.update((x, known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])) for x, ws in new.items())
 
@@ -66,14 +93,19 @@ class WordTokenizer:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         split = [None if "<|" in x and self.special(x) else self.split(x) for x in texts]
         known = self.strings
-        new = {x for s in split if s for x in s}.difference(known)
-        if new:
+        found = [[] if s is None else list(map(known.get, s)) for s in split]
+        gaps = [(k, [i for i, x in enumerate(f) if x is None]) for k, f in enumerate(found) if None in f]
+        if gaps:
+            new = {split[k][i] for k, at in gaps for i in at}
             if len(known) + len(new) > _CACHE_STRINGS:
                 known.clear()
                 self.words.clear()
-                new = {x for s in split if s for x in s}
-            self.learn(sorted(new))
-        return [np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if s is None else b"".join([known[w] for w in s]) for x, s in zip(texts, split, strict=True)]
+            self.learn(new)
+            for k, at in gaps:
+                f, s = found[k], split[k]
+                for i in at:
+                    f[i] = known[s[i]]
+        return [np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if s is None else b"".join(f) for x, s, f in zip(texts, split, found, strict=True)]
 
 
 _PIECE = pa.schema([("d", pa.int64()), ("v", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("crc", pa.int64())])
