@@ -151,3 +151,25 @@ def groups_of(texts: list[bytes], limit: int = 2_000_000):
         total += len(t)
     if begin < len(texts):
         yield begin, len(texts)
+
+
+# ------------------------------------------------------------------ inside Python workers
+
+
+def slices(batches, rows: int = 1000):
+    """The rows of record batches, `rows` at a time, so that what is made of them stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+_kept: dict[tuple, object] = {}
+
+
+def only_kept(key: tuple, make=None):
+    """What a worker keeps from task to task: one thing at a time, as workers go from one operator to the next."""
+    if key not in _kept:
+        _kept.clear()
+        if make:
+            _kept[key] = make()
+    return _kept.get(key)

@@ -63,7 +63,8 @@ _SKETCH_DDL = "d long, v long, n int, same long, sketches array<long>"
 
 def _sketcher(sketches: int, picks: int, k: int):
     def sketch(batches):
-        for batch in batches:
+        C.only_kept(())
+        for batch in C.slices(batches):
             texts = [normalised(t) for t in batch["text"].to_pylist()]
             sizes, same, found = [], [], []
             for i, j in C.groups_of(texts, 1 << 21):

@@ -7,7 +7,6 @@ round no longer saves anything. A row is a bin with its pieces (ids and lengths,
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import zlib
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Strings whose ids a Python worker keeps at most; what one call needs comes on top.
-_CACHE_STRINGS = 800_000
+_CACHE_STRINGS = 400_000
 #: As in the tokenizer's own split; special strings are cut out before.
 _WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
@@ -112,16 +111,10 @@ _PIECE = pa.schema([("d", pa.int64()), ("v", pa.int64()), ("piece", pa.int32()),
 _PIECE_DDL = "d long, v long, piece int, start long, length int, crc long"
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str) -> WordTokenizer:
-    """One for each Python worker, so that what it has met lasts from task to task."""
-    return WordTokenizer(path)
-
-
 def _cutter(path: str, limit: int, end_id: int):
-    def cut(batches):
-        encode, end = _tokenizer(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+    def cut_up(batches):
+        encode, end = C.only_kept(("words", path), lambda: WordTokenizer(path)), np.array([end_id], "<u4").tobytes()
+        for batch in C.slices(batches):
             out: list[list] = [[] for _ in _PIECE]
             texts = batch["text"].to_pylist()
             coded = (x for i, j in C.groups_of(texts) for x in encode(texts[i:j]))
@@ -133,7 +126,7 @@ def _cutter(path: str, limit: int, end_id: int):
                         column.append(x)
             yield pa.record_batch([pa.array(x, f.type) for x, f in zip(out, _PIECE, strict=True)], schema=_PIECE)
 
-    return cut
+    return cut_up
 
 
 def best_fit(sizes: np.ndarray, limit: int) -> np.ndarray:

@@ -81,7 +81,7 @@ def remove_passages(docs: DataFrame, window: int = 50, gram: int = 8, id_col: st
     rows = C.keyed(docs, id_col, text_col)
 
     def keep(batches):
-        for batch in batches:
+        for batch in C.slices(batches):
             out: list[list] = [[], [], [], []]
             for d, text, spans in zip(batch["d"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), batch["spans"], strict=True):
                 start, end = C.words_of(np.frombuffer(text, np.uint8), C.SPACE)

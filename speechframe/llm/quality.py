@@ -169,7 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     sample = views.join(F.broadcast(labels), "d", "left").where(F.col("y").isNotNull() | (F.col("chance") < few(max_pool, docs.count())))
 
     def features(batches):
-        for b in batches:
+        C.only_kept(())
+        for b in C.slices(batches):
             t = text_features(b["text"].cast(pa.binary()).to_pylist())
             m = meta_features(b["lang"].to_pylist(), b["source"].to_pylist(), b["n_chars"].to_pylist())
             pack = lambda z: pa.array([row.tobytes() for row in z], pa.binary())
@@ -200,23 +201,24 @@ def score(docs: DataFrame, model: CoTrained | None, cutoff: float = 0.5, id_col:
     if not keep:
 
         def run(batches):
-            for b in batches:
+            C.only_kept(())
+            for b in C.slices(batches):
                 s = scored(b)
                 yield pa.record_batch([b["d"], *map(pa.array, s), pa.array(s[0] >= cutoff)], names=["d", "score", "text_score", "meta_score", "accepted"])
 
         return _view_columns(docs, id_col, text_col).mapInArrow(run, "d long, score double, text_score double, meta_score double, accepted boolean")
 
-    wide = docs.select(*[docs[c].alias(f"r{i}") for i, c in enumerate(docs.columns)], C.text_or_empty(text_col).alias("text"), *[(docs[c] if c in docs.columns else F.lit(None)).cast(k).alias(f"view_{c}") for c, k in (("lang", "string"), ("source", "string"), ("n_chars", "double"))])
+    names = list(docs.columns)
+    wide = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names may clash, be odd or be missing
 
     def filtered(batches):
-        for b in batches:
-            s = scored({"text": b["text"], "lang": b["view_lang"], "source": b["view_source"], "n_chars": b["view_n_chars"]})
-            t = pa.Table.from_batches([b]).filter(pa.array(s[0] >= cutoff))
-            yield from t.select([f"r{i}" for i in range(len(docs_columns))]).to_batches()
-
-    docs_columns = list(docs.columns)
-    schema = wide.select(*[f"r{i}" for i in range(len(docs_columns))]).schema
-    return wide.mapInArrow(filtered, schema).toDF(*docs_columns)
+        C.only_kept(())
+        for b in C.slices(batches):
+            column = lambda c, kind: b.column(names.index(c)).cast(kind) if c in names else pa.nulls(b.num_rows, kind)  # noqa: B023, E731
+            s = scored({"text": column(text_col, pa.string()).fill_null(""), "lang": column("lang", pa.string()), "source": column("source", pa.string()), "n_chars": column("n_chars", pa.float64())})
+            yield from pa.Table.from_batches([b]).filter(pa.array(s[0] >= cutoff)).to_batches()
+
+    return wide.mapInArrow(filtered, wide.schema).toDF(*names)
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:

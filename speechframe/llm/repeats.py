@@ -151,7 +151,8 @@ def _joined(d, v, a, b) -> tuple:
 
 def _scan(kind: Kind):
     def scan(batches):
-        for batch in batches:
+        C.only_kept(())
+        for batch in C.slices(batches):
             ids, checks, texts = batch["d"].to_numpy(), batch["v"].to_numpy(), batch["text"].cast(pa.binary()).to_pylist()
             for i, shift, units, first, low, high in _pieces(texts, kind):
                 text, pos, a, c, left, right = anchors(units, first, kind)
@@ -231,7 +232,7 @@ def _contexts(kind: Kind):
     """Rows (d, v, text, asks): the contexts that were asked for, as bytes; of words, joined by one space."""
 
     def contexts(batches):
-        for batch in batches:
+        for batch in C.slices(batches):
             out: list[list] = [[], [], [], [], [], [], []]
             for d, v, text, asks in zip(batch["d"].to_pylist(), batch["v"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), batch["asks"], strict=True):
                 asks = asks.values

@@ -183,7 +183,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 24, id_col: s
     rows = C.keyed(docs, id_col, text_col)
 
     def keep(batches):
-        for batch in batches:
+        for batch in C.slices(batches):
             out: list[list] = [[], [], [], [], []]
             for d, text, spans in zip(batch["d"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), batch["spans"], strict=True):
                 spans = R.merged(spans.values)

@@ -13,7 +13,6 @@ their own and joined by a tree of pairwise compositions, as in a parallel prefix
 
 from __future__ import annotations
 
-import functools
 import json
 
 import pyarrow as pa
@@ -183,12 +182,6 @@ class Counter:
         return self.run(m[0]) if len(m) == 1 else self.run(m[0]) + m[1] + self.run(m[2])
 
 
-@functools.lru_cache(maxsize=2)
-def _counter(path: str) -> Counter:
-    """One for each Python worker, so that its states last from task to task."""
-    return Counter(path)
-
-
 _COUNT = pa.schema([("d", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
 
@@ -200,8 +193,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     C.ship(docs.sparkSession)
 
     def count(batches):
-        counter = _counter(tokenizer)
-        for batch in batches:
+        counter = C.only_kept(("bytes", tokenizer), lambda: Counter(tokenizer))
+        for batch in C.slices(batches):
             texts = batch["text"]
             sizes = texts.cast(pa.binary()).to_pylist()
             n = [counter(t) for t in texts.to_pylist()]
