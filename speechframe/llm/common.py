@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import functools
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ship import package as ship  # noqa: F401
+
 NO_ID = -(2**63)
 """Stands for a null doc_id inside an operator, so that such rows still join and sort first."""
 
@@ -37,23 +35,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@functools.lru_cache(maxsize=4)
-def _shipped(app_id: str) -> str:
-    root = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(prefix="speechframe-"), f"{root.name}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    return path
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors' Python this package, once per application."""
-    path = _shipped(spark.sparkContext.applicationId)
-    if path not in getattr(spark.sparkContext, "_python_includes", []) and os.path.basename(path) not in spark.sparkContext._python_includes:
-        spark.sparkContext.addPyFile(path)
-
-
 # ------------------------------------------------------------------ columns
 
 
