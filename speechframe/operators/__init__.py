@@ -1,0 +1 @@
+"""DataFrame to DataFrame operators, keyed by recording."""

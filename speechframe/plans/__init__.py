@@ -1,0 +1 @@
+"""Pipelines composed of operators, and the catalogue of queries."""

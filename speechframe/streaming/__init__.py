@@ -1,0 +1 @@
+"""The same operators on Structured Streaming inputs."""
