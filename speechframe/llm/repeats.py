@@ -8,7 +8,9 @@ window - gram units before it, window units from it on, as far as the document g
 1. Scan: each document gives its anchors, with hashes of gram and context. Inside a batch, all but the first of equal
    (gram, context) are settled at once: their whole context stands earlier.
 2. Anchors meet by gram, as a sorted stream that is never held: again all but the first of equal contexts are settled.
-   Grams with one context are dropped. The first of each context goes on, where its gram has others.
+   Grams with one context are dropped. The first of each context goes on, where its gram has others. Grams that a look
+   at some documents shows to be common are dealt out by context as well, and taken to have several: that costs a few
+   comparisons where it's wrong, and keeps a gram of a third of all documents from one task. No result hangs on it.
 3. Contexts of one gram are compared in full by the operator (`settle`); a gram with very many contexts has its windows
    hashed to 128 bits and dealt out by that instead.
 4. The covered spans of each document are joined with its text.
@@ -36,7 +38,9 @@ _FOUND_DDL = "kind byte, a long, c long, d long, v long, pos long, l int, r int"
 _FOUND = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("v", pa.int64()), ("pos", pa.int64()), ("l", pa.int32()), ("r", pa.int32())])
 _SPAN_DDL = "d long, v long, a long, b long"
 _SPAN = pa.schema([("d", pa.int64()), ("v", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-COVERED, ANCHOR = 0, 1
+COVERED, ANCHOR, COMMON = 0, 1, 2
+#: Documents looked at for common grams, and the share of them that makes a gram common; that bounds their list.
+LOOKED_AT, COMMON_SHARE = 5_000, 0.01
 
 
 @dataclass(frozen=True)
@@ -149,7 +153,7 @@ def _joined(d, v, a, b) -> tuple:
     return key, key, d, v, a, np.zeros(len(a)), end - a
 
 
-def _scan(kind: Kind):
+def _scan(kind: Kind, common: np.ndarray):
     def scan(batches):
         C.only_kept(())
         for batch in C.slices(batches):
@@ -165,8 +169,13 @@ def _scan(kind: Kind):
                 o = _order(a, c, d, v, pos)
                 a, c, d, v, pos, left, right = (x[o] for x in (a, c, d, v, pos, left, right))
                 same = _settled(kind, a, c, d, v, pos)
-                go = ~same
-                yield _found(ANCHOR, a[go], c[go], d[go], v[go], pos[go], left[go], right[go])
+                often = np.isin(a, common)
+                for what, go in ((ANCHOR, ~same & ~often), (COMMON, ~same & often)):
+                    if go.any():
+                        gram, context = a[go], c[go]
+                        if what == COMMON:  # the key that deals rows out, and the gram
+                            gram, context = C.mix(gram.view(np.uint64) ^ C.mix(context.view(np.uint64))).view(np.int64), gram
+                        yield _found(what, gram, context, d[go], v[go], pos[go], left[go], right[go])
                 if same.any():
                     yield _found(COVERED, *_joined(d[same], v[same], pos[same] - left[same], pos[same] + right[same]))
 
@@ -185,7 +194,7 @@ def _meet(kind: Kind):
             through = table.filter(pa.array(batch["kind"].to_numpy() == COVERED))
             if len(through):
                 yield from through.combine_chunks().to_batches()
-            rows = table.filter(pa.array(batch["kind"].to_numpy() == ANCHOR)).combine_chunks()
+            rows = table.filter(pa.array(batch["kind"].to_numpy() != COVERED)).combine_chunks()
             if not len(rows):
                 continue
             a, c, d, v, pos = (rows[x].to_numpy() for x in ("a", "c", "d", "v", "pos"))
@@ -201,6 +210,8 @@ def _meet(kind: Kind):
             # Whether the row's gram has several contexts: any context that begins without a gram beginning.
             gram = np.cumsum(new_gram)  # 0: the one that goes on
             more = np.bincount(gram, new_context & ~new_gram, minlength=gram[-1] + 1) > 0
+            often = rows["kind"].to_numpy() == COMMON
+            more |= np.bincount(gram, often, minlength=gram[-1] + 1) > 0
             if not new_gram[0]:
                 more[0] |= several
                 if more[0]:
@@ -209,7 +220,7 @@ def _meet(kind: Kind):
             else:
                 waiting, several = [], False
             out_kind = np.where(same, COVERED, ANCHOR).astype(np.int8)
-            rows = rows.set_column(0, "kind", pa.array(out_kind))
+            rows = rows.set_column(0, "kind", pa.array(out_kind)).set_column(1, "a", pa.array(np.where(often, c, a)))
             ends = gram == gram[-1]
             go = same | more[gram]
             held = ends & ~go
@@ -324,10 +335,19 @@ def _windows(kind: Kind):
     return windows
 
 
+def common_grams(docs: DataFrame, kind: Kind) -> np.ndarray:
+    """Grams that at least COMMON_SHARE of about LOOKED_AT documents, drawn by a hash of the id, hold as anchors."""
+    n = docs.count()
+    chance = F.pmod(F.xxhash64("d", "v"), F.lit(1_000_000)) < int(1e6 * min(1.0, LOOKED_AT / max(1, n)))
+    some = docs.where(chance).mapInArrow(_scan(kind, np.zeros(0, np.int64)), _FOUND_DDL).where(F.col("kind") == ANCHOR)
+    often = some.groupBy("a").count().where(F.col("count") >= max(20, int(COMMON_SHARE * min(n, LOOKED_AT)))).select("a")
+    return np.sort(np.array([r[0] for r in often.toLocalIterator()], np.int64))
+
+
 def covered_spans(docs: DataFrame, kind: Kind, settle: Callable[[Contexts], tuple], hot: int = HOT) -> DataFrame:
     """(d, v, a, b): spans of documents covered by windows that also start earlier. docs: (d, v, text)."""
     C.ship(docs.sparkSession)
-    scanned = docs.mapInArrow(_scan(kind), _FOUND_DDL)
+    scanned = docs.mapInArrow(_scan(kind, common_grams(docs, kind)), _FOUND_DDL)
     met = scanned.repartition("a").sortWithinPartitions("a", "c", "d", "v", "pos").mapInArrow(_meet(kind), _FOUND_DDL)
     met = C.cut(met, "anchors")
     asked = met.where(F.col("kind") == ANCHOR)
