@@ -101,7 +101,7 @@ def _own(batches):
         yield results()
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 1 << 20) -> DataFrame:
     """One row per row of docs: d, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
     Texts are equal when identical after lower-casing A-Z; a null text is the empty text, which is a text like any
@@ -116,8 +116,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prefix = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(2**63))), 64 - MAX_DEPTH)
     sizes = entries.select("h", F.octet_length("page").alias("b"))
     total = sizes.agg(F.sum("b")).first()[0] or 0
-    # Counters follow the input up to 2**MAX_DEPTH, the most that the driver ever holds.
-    depth = min(MAX_DEPTH, max(1, (64 * total // bucket_bytes).bit_length()))
+    # At most 2**16 buckets, and 16 counters for each: the most that the driver ever holds.
+    bucket_bytes = max(bucket_bytes, total >> 16)
+    depth = min(MAX_DEPTH, max(1, (8 * total // bucket_bytes).bit_length()))
     at = F.shiftright(prefix, MAX_DEPTH - depth)
     counts = {r[0]: r[1] for r in sizes.groupBy(at.alias("p")).agg(F.sum("b")).toLocalIterator()}
     buckets = directory(counts, depth, bucket_bytes)
