@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-_BLOCK_BITS, _ZOOM_BITS, _SALTS = 12, 8, 16
+_BLOCK_BITS, _ZOOM_BITS = 12, 8
+_SLOT_BITS, _SALTS = 10, 8  # rows are numbered within 2**10 * 8 cells and the shards' cuts
 
 
 def _fill(cells: list[tuple[int, int, int]], capacity: int, shards: int, fluid: bool) -> list[int] | None:
@@ -126,7 +127,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, overhead: int = 8, id_col:
     for first in firsts:
         shard = shard + (F.col("h") >= F.lit(first)).cast("int")
     place = ["shard", "block", "salt"]
-    rows = rows.select("*", shard.alias("shard"), F.shiftright("h", 64 - _BLOCK_BITS).alias("block"), F.pmod(F.xxhash64("d"), F.lit(_SALTS)).alias("salt"))
+    rows = rows.select("*", shard.alias("shard"), F.shiftright("h", 64 - _SLOT_BITS).alias("block"), F.pmod(F.xxhash64("d"), F.lit(_SALTS)).alias("salt"))
     # At most (blocks + shards) * salts rows, whatever the input.
     counts = rows.groupBy(*place).count()
     before = Window.partitionBy("shard").orderBy("block", "salt").rowsBetween(Window.unboundedPreceding, -1)
