@@ -45,12 +45,20 @@ def order_min_hash(words: np.ndarray, sketches: int, picks: int, k: int) -> np.n
     labelled = C.mix(grams + occurrences(grams).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     out = np.empty(sketches, np.uint64)
     m = min(picks, n)
-    for j in range(sketches):
-        values = labelled * _SEEDS[j]
+    some = max(1, 1_000_000 // n)  # sketches at a time, which bounds the table for long texts
+    for j in range(0, sketches, some):
+        seeds = _SEEDS[j : min(j + some, sketches) + 1, None]
+        values = labelled * seeds[:-1]
         values ^= values >> np.uint64(29)
-        values *= _SEEDS[j + 1]
-        chosen = np.sort(np.argpartition(values, m - 1)[:m]) if m < n else at
-        out[j] = C.range_hash(C.prefix_sums(grams[chosen]), np.array([0]), np.array([m]))[0] + np.uint64(j)
+        values *= seeds[1:]
+        if m < n:
+            chosen = np.sort(np.argpartition(values, m - 1, axis=1)[:, :m], axis=1)
+        else:
+            chosen = np.broadcast_to(at, (len(values), n))
+        folded = np.arange(j, j + len(values), dtype=np.uint64)
+        for k in range(m):
+            folded = C.mix(folded * _SEEDS[-1] + grams[chosen[:, k]])
+        out[j : j + len(values)] = folded
     return out
 
 
