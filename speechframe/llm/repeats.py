@@ -33,6 +33,7 @@ from . import common as C
 CHUNK = 1 << 20
 #: Contexts of one gram that are compared in one task; grams with more take the way by windows.
 HOT = 20_000
+BROADCAST_GRAMS = 100_000
 
 _FOUND_DDL = "kind byte, a long, c long, d long, v long, pos long, l int, r int"
 _FOUND = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("v", pa.int64()), ("pos", pa.int64()), ("l", pa.int32()), ("r", pa.int32())])
@@ -353,10 +354,12 @@ def covered_spans(docs: DataFrame, kind: Kind, settle: Callable[[Contexts], tupl
     asked = met.where(F.col("kind") == ANCHOR)
     asks = asked.groupBy("d", "v").agg(F.collect_list(F.struct("a", "pos", "l", "r")).alias("asks"))
     contexts = docs.join(asks, ["d", "v"]).mapInArrow(_contexts(kind), _CONTEXT_DDL)
-    # At most one row for `hot` asked contexts, so this list is small beside them.
-    crowded = asked.groupBy("a").count().where(F.col("count") > hot).select("a")
+    # At most one row for `hot` asked contexts; beyond BROADCAST_GRAMS of them the joins shuffle.
+    crowded = C.cut(asked.groupBy("a").count().where(F.col("count") > hot).select("a"), "crowded")
+    grams = crowded.count()
     out = met.where(F.col("kind") == COVERED).select("d", "v", (F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b"))
-    if crowded.limit(1).count():
+    if grams:
+        crowded = F.broadcast(crowded) if grams <= BROADCAST_GRAMS else crowded
         contexts = C.cut(contexts, "contexts")
         windows = C.cut(contexts.join(crowded, "a", "left_semi").mapInArrow(_windows(kind), "w binary, d long, v long, pos long").distinct(), "windows")
         first = windows.groupBy("w").agg(F.min(F.struct("d", "v", "pos") if kind.inside else F.struct("d")).alias("first"))
