@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Strings whose ids a Python worker keeps at most; what one call needs comes on top.
-_CACHE_STRINGS = 400_000
+_CACHE_STRINGS = 550_000
 #: As in the tokenizer's own split; special strings are cut out before.
 _WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
