@@ -6,8 +6,10 @@ documents agree on a sketch with a chance that follows their edit similarity, as
 that agree on one of `sketches` and are of like length are candidates; word-level edit distance in a band of the
 allowed distance decides. Classes are connected components of the links found.
 
-Equal texts are one node. In a bucket of up to PAIRED nodes all pairs are candidates; in a larger one each node goes
-with the bucket's first and with its neighbours by length, which keeps a group of any size connected without its pairs.
+Equal texts are one node. In a bucket of up to PAIRED nodes all pairs are candidates. In a larger one each node first
+goes with the bucket's first and with its neighbours by length, which joins a group of any size without its pairs. What
+such a bucket then still holds in different classes is compared in full, in blocks: counts of words bound the distance
+from below, and only the pairs that this bound allows are written and aligned. So no candidate's link is lost.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from . import components as G
 
 PAIRED = 6
 NEIGHBOURS = 2
+BLOCK = 1000
+"""Nodes along a side of a block."""
+_BINS = 128
 _SEEDS = C.mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -167,6 +172,70 @@ def _verify(similarity: float):
     return verify
 
 
+def word_bags(texts: list[bytes]) -> np.ndarray:
+    """Counts of each text's words by hash. Half of what two rows differ by, or more, is the least edit distance."""
+    words, first = C.word_hashes(texts, C.PUNCT)
+    bins = np.repeat(np.arange(len(texts)), np.diff(first)) * _BINS + (words % np.uint64(_BINS)).astype(np.int64)
+    return np.minimum(np.bincount(bins, minlength=len(texts) * _BINS), 65535).astype(np.uint16).reshape(-1, _BINS)
+
+
+def _bag_rows(batches):
+    C.only_kept(())
+    for batch in C.slices(batches):
+        texts = [normalised(t) for t in batch["text"].to_pylist()]
+        bags = [row.tobytes() for i, j in C.groups_of(texts, 1 << 21) for row in word_bags(texts[i:j])]
+        yield pa.record_batch([batch["same"], pa.array(bags, pa.binary())], names=["same", "bag"])
+
+
+def _allowed(similarity: float):
+    """Pairs (u, w) of a block, of different classes so far, that lengths and counts of words allow."""
+
+    def allowed(block: pa.Table) -> pa.Table:
+        same, root, n = (block[c].to_numpy() for c in ("same", "root", "n"))
+        bags = np.frombuffer(b"".join(block["bag"].to_pylist()), np.uint16).reshape(-1, _BINS).astype(np.int32)
+        side = block["side"].to_numpy().astype(bool)
+        others = np.flatnonzero(~side)
+        us, ws = [], []
+        for i in np.flatnonzero(side):
+            at = others[root[others] != root[i]]
+            most = np.maximum(n[at], n[i])
+            limit = (((1 - similarity) * most) + 1e-9).astype(np.int64)
+            near = np.abs(n[at].astype(np.int64) - n[i]) <= limit
+            at, limit = at[near], limit[near]
+            apart = bags[at] - bags[i]
+            at = at[np.maximum(np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1)) <= limit]
+            us.append(np.minimum(same[at], same[i]))
+            ws.append(np.maximum(same[at], same[i]))
+        none = np.zeros(0, np.int64)
+        return pa.table({"u": np.concatenate([none, *us]), "w": np.concatenate([none, *ws])})
+
+    return allowed
+
+
+def _unsettled(large: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame | None:
+    """Pairs of nodes that share a large bucket, are in different classes so far, and may be similar. None where none are left.
+
+    Nodes outside a bucket's largest class, in rows of blocks, meet all of its nodes, in columns of blocks.
+    """
+    placed = large.select("bucket", "same", "n").join(roots, "same", "left").withColumn("root", F.coalesce("root", "same"))
+    placed = C.cut(placed, "placed")
+    classes = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+    classes = classes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("size")).where("main.c < size")
+    high, wide = (F.ceil(x / BLOCK).cast("int") for x in (F.col("size") - F.col("main.c"), F.col("size")))
+    classes = classes.select("bucket", F.col("main.root").alias("main"), high.alias("high"), wide.alias("wide"))
+    placed = C.cut(placed.join(classes, "bucket"), "unsettled")
+    if placed.isEmpty():
+        return None
+    bags = texts.join(placed.select("same").distinct(), "same", "left_semi").mapInArrow(_bag_rows, "same long, bag binary")
+    placed = placed.join(bags, "same")
+    place = lambda k, blocks: F.pmod(F.xxhash64("same", F.lit(k)), blocks).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    kept = ["bucket", "same", "n", "root", "bag"]
+    rows = placed.where("root <> main").select(*kept, F.lit(1).alias("side"), place(0, F.col("high")).alias("i"), every("wide").alias("j"))
+    columns = placed.select(*kept, F.lit(0).alias("side"), every("high").alias("i"), place(1, F.col("wide")).alias("j"))
+    return rows.unionByName(columns).groupBy("bucket", "i", "j").applyInArrow(_allowed(similarity), "u long, w long").distinct()
+
+
 def near_classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 20, picks: int = 2, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: d, v, class_id (the smallest id of the class), class_size (rows), links (of its text).
 
@@ -199,12 +268,22 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 20, p
     sizes = nodes.select("same", "n")
     pairs = pairs.join(sizes.toDF("u", "nu"), "u").join(sizes.toDF("w", "nw"), "w").where(F.least("nu", "nw") >= F.lit(similarity) * F.greatest("nu", "nw") - 1e-9)
     pairs = C.cut(pairs.select("u", "w"), "pairs")
-    wanted = pairs.select(F.explode(F.array("u", "w")).alias("same")).distinct()
+    wanted = pairs.select(F.explode(F.array("u", "w")).alias("same")).unionByName(large.select("same")).distinct()
     texts = nodes.join(wanted, "same", "left_semi").select("same", "d", "v").join(rows, ["d", "v"]).dropDuplicates(["same"]).select("same", "text")
     texts = C.cut(texts, "texts")
-    sided = pairs.join(texts.toDF("u", "left"), "u").join(texts.toDF("w", "right"), "w").select("u", F.col("w").alias("v"), "left", "right")
-    links = C.cut(sided.mapInArrow(_verify(similarity), "u long, v long"), "links")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sided = pairs.join(texts.toDF("u", "left"), "u").join(texts.toDF("w", "right"), "w").select("u", F.col("w").alias("v"), "left", "right")
+        return C.cut(sided.mapInArrow(_verify(similarity), "u long, v long"), "links")
+
+    links = verified(pairs)
     roots = G.components(links).toDF("same", "root")
+    rest = _unsettled(large, roots, texts, similarity)
+    if rest is not None:
+        more = verified(C.cut(rest.join(pairs, ["u", "w"], "left_anti"), "rest"))
+        links = links.unionByName(more)
+        if not more.isEmpty():
+            roots = G.components(links).toDF("same", "root")
     degree = links.select(F.explode(F.array("u", "v")).alias("same")).groupBy("same").agg(F.count("*").alias("links"))
     labelled = nodes.select("same", "d", "rows").join(roots, "same", "left").withColumn("root", F.coalesce("root", "same"))
     classes = labelled.groupBy("root").agg(F.min("d").alias("class_id"), F.sum("rows").alias("class_size"))

@@ -111,6 +111,36 @@ def test_a_large_group_stays_one(spark):
     assert sum(r["links"] for r in got) < 400 * 60  # no group's pairs
 
 
+def test_a_large_bucket_loses_no_link(spark):
+    """Texts that share one passage, and so their sketches, but are similar only in a few pairs far apart by length."""
+    rng = random.Random(7)
+    head = [f"h{i}" for i in range(40)]
+    texts, rows = [], []
+    for i in range(60):
+        texts.append(head[:38] + [f"t{i}a{j}" for j in range(12 + i % 9)])
+    for i in range(0, 60, 7):
+        w = list(texts[i])
+        w[-1:] = [f"z{i}", f"z{i}b"]
+        texts.append(w)
+    rng.shuffle(texts)
+    rows = [(i, " ".join(w), *[None] * 9) for i, w in enumerate(texts)]
+    block, paired = near_dedup.BLOCK, near_dedup.PAIRED
+    try:
+        near_dedup.BLOCK, near_dedup.PAIRED = 10, 3
+        got = near_dedup.near_classes(cases.documents(spark, rows)).collect()
+    finally:
+        near_dedup.BLOCK, near_dedup.PAIRED = block, paired
+    assert Counter((r["d"], r["class_id"], r["class_size"]) for r in got) == near_classes_plainly(rows)
+
+
+def test_word_bags_bound_the_distance():
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([f"w{rng.randint(0, 400)}" for _ in range(rng.randint(0, 60))] for _ in range(2))
+        x, y = near_dedup.word_bags([" ".join(a).encode(), " ".join(b).encode()]).astype(int)
+        assert max((x - y).clip(0).sum(), (y - x).clip(0).sum()) <= levenshtein(a, b)
+
+
 def test_order_matters_to_sketches():
     import numpy as np
 
