@@ -156,16 +156,18 @@ def _view_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 10_000, max_pool: int = 10_000, rounds: int = 4) -> CoTrained | None:
-    """Fits on about `max_labelled` labelled rows and `max_pool` unlabelled ones, drawn by a hash of the id.
+    """Fits on about `max_labelled` labelled rows, drawn by a hash of the id, and `max_pool` unlabelled ones, by a hash
+    of id and text; twice as many together at most, where many rows repeat an id.
 
     Labels that are null, or of ids that no document has, don't count. None where no label, or one class, is left.
     """
     chance = F.pmod(F.xxhash64("d"), F.lit(1_000_000))
+    pool_chance = F.pmod(F.xxhash64("d", "text"), F.lit(1_000_000))
     labels = labels.select(F.coalesce(F.col(id_col).cast("long"), F.lit(C.NO_ID)).alias("d"), (F.col(label_col) >= 0.5).cast("double").alias("y")).where("y is not null")
     labels = labels.groupBy("d").agg(F.min("y").alias("y"))
     few = lambda most, n: F.lit(int(1e6 * min(1.0, most / max(1, n))))
     labels = labels.where(chance < few(max_labelled, labels.count()))  # about max_labelled rows of 16 bytes
-    views = _view_columns(docs, id_col, text_col).withColumn("chance", chance)
+    views = _view_columns(docs, id_col, text_col).withColumn("chance", pool_chance)
     sample = views.join(F.broadcast(labels), "d", "left").where(F.col("y").isNotNull() | (F.col("chance") < few(max_pool, docs.count())))
 
     def features(batches):
@@ -176,7 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
             pack = lambda z: pa.array([row.tobytes() for row in z], pa.binary())
             yield pa.record_batch([b["d"], b["y"], pack(t), pack(m)], names=["d", "y", "text", "meta"])
 
-    got = sample.select("d", "y", "text", "lang", "source", "n_chars").mapInArrow(features, "d long, y double, text binary, meta binary").orderBy(F.xxhash64("d"), "text").toArrow()
+    got = sample.select("d", "y", "text", "lang", "source", "n_chars").mapInArrow(features, "d long, y double, text binary, meta binary")
+    got = got.orderBy(F.xxhash64("d", "text"), "d", "text", "meta").limit(2 * (max_labelled + max_pool)).toArrow()
     if not len(got):
         return None
     y = np.array([np.nan if v is None else v for v in got["y"].to_pylist()])
