@@ -236,7 +236,7 @@ def _unsettled(large: DataFrame, roots: DataFrame, texts: DataFrame, similarity:
     return rows.unionByName(columns).groupBy("bucket", "i", "j").applyInArrow(_allowed(similarity), "u long, w long").distinct()
 
 
-def near_classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 20, picks: int = 2, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 32, picks: int = 2, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: d, v, class_id (the smallest id of the class), class_size (rows), links (of its text).
 
     Similarity is 1 - edit distance / words of the longer text, over words in lower case without punctuation. A null
