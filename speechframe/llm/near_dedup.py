@@ -7,9 +7,9 @@ that agree on one of `sketches` and are of like length are candidates; word-leve
 allowed distance decides. Classes are connected components of the links found.
 
 Equal texts are one node. In a bucket of up to PAIRED nodes all pairs are candidates. In a larger one each node first
-goes with the bucket's first and with its neighbours by length, which joins a group of any size without its pairs. What
-such a bucket then still holds in different classes is compared in full, in blocks: counts of words bound the distance
-from below, and only the pairs that this bound allows are written and aligned. So no candidate's link is lost.
+goes with the bucket's first and with its neighbour by length, which joins a group of any size without its pairs. What
+such a bucket then still holds in different classes is compared in full, in blocks: the words that two texts share bound
+their distance from below, and only the pairs that this bound allows are written and aligned. So no link is lost.
 """
 
 from __future__ import annotations
@@ -23,10 +23,9 @@ from . import common as C
 from . import components as G
 
 PAIRED = 6
-NEIGHBOURS = 2
-BLOCK = 1000
-"""Nodes along a side of a block."""
-_BINS = 128
+NEIGHBOURS = 1
+BLOCK, BLOCK_WORDS = 1000, 500_000
+"""Nodes and words along a side of a block, about."""
 _SEEDS = C.mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -172,42 +171,51 @@ def _verify(similarity: float):
     return verify
 
 
-def word_bags(texts: list[bytes]) -> np.ndarray:
-    """Counts of each text's words by hash. Half of what two rows differ by, or more, is the least edit distance."""
-    words, first = C.word_hashes(texts, C.PUNCT)
-    bins = np.repeat(np.arange(len(texts)), np.diff(first)) * _BINS + (words % np.uint64(_BINS)).astype(np.int64)
-    return np.minimum(np.bincount(bins, minlength=len(texts) * _BINS), 65535).astype(np.uint16).reshape(-1, _BINS)
+def word_bags(words: np.ndarray) -> np.ndarray:
+    """A text's words, numbered by occurrence, as 32-bit hashes: two texts share at most as many words as entries."""
+    return np.sort((C.mix(words + occurrences(words).astype(np.uint64) * _SEEDS[0]) >> np.uint64(32)).astype("<u4"))
 
 
 def _bag_rows(batches):
     C.only_kept(())
     for batch in C.slices(batches):
-        texts = [normalised(t) for t in batch["text"].to_pylist()]
-        bags = [row.tobytes() for i, j in C.groups_of(texts, 1 << 21) for row in word_bags(texts[i:j])]
+        texts, bags = [normalised(t) for t in batch["text"].to_pylist()], []
+        for i, j in C.groups_of(texts, 1 << 21):
+            words, first = C.word_hashes(texts[i:j], C.PUNCT)
+            bags += [word_bags(words[a:b]).tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         yield pa.record_batch([batch["same"], pa.array(bags, pa.binary())], names=["same", "bag"])
 
 
+def least_distances(bag: np.ndarray, bags: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """Lower bounds of the edit distances of one text to others: the words of the longer without a partner.
+
+    Entries are numbers under `size`; text k has bags[first[k]:first[k + 1]], which isn't empty.
+    """
+    here = np.bincount(bag, minlength=size)
+    # An entry that stands twice in a bag, by a clash of hashes, is matched as often: the bound stays one.
+    shared = np.add.reduceat(here[bags], first[:-1])
+    return np.maximum(np.diff(first), len(bag)) - shared
+
+
 def _allowed(similarity: float):
-    """Pairs (u, w) of a block, of different classes so far, that lengths and counts of words allow."""
+    """Pairs (u, w) of a block, of different classes so far, that lengths and words allow."""
 
     def allowed(block: pa.Table) -> pa.Table:
         same, root, n = (block[c].to_numpy() for c in ("same", "root", "n"))
-        bags = np.frombuffer(b"".join(block["bag"].to_pylist()), np.uint16).reshape(-1, _BINS).astype(np.int32)
-        side = block["side"].to_numpy().astype(bool)
+        entries, flat = np.unique(np.frombuffer(b"".join(block["bag"].to_pylist()), "<u4"), return_inverse=True)
+        side, ends = block["side"].to_numpy().astype(bool), np.r_[0, np.cumsum(n)]
         others = np.flatnonzero(~side)
-        us, ws = [], []
-        for i in np.flatnonzero(side):
-            at = others[root[others] != root[i]]
-            most = np.maximum(n[at], n[i])
-            limit = (((1 - similarity) * most) + 1e-9).astype(np.int64)
-            near = np.abs(n[at].astype(np.int64) - n[i]) <= limit
-            at, limit = at[near], limit[near]
-            apart = bags[at] - bags[i]
-            at = at[np.maximum(np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1)) <= limit]
-            us.append(np.minimum(same[at], same[i]))
-            ws.append(np.maximum(same[at], same[i]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"u": np.concatenate([none, *us]), "w": np.concatenate([none, *ws])})
+        us, ws = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(others):
+            theirs = flat[np.repeat(~side, n)]
+            first = np.r_[0, np.cumsum(n[others])]
+            limit_of = lambda a, b: ((1 - similarity) * np.maximum(a, b) + 1e-9).astype(np.int64)
+            for i in np.flatnonzero(side):
+                least = least_distances(flat[ends[i] : ends[i + 1]], theirs, first, len(entries))
+                at = others[(least <= limit_of(n[others], n[i])) & (root[others] != root[i])]
+                us.append(np.minimum(same[at], same[i]))
+                ws.append(np.maximum(same[at], same[i]))
+        return pa.table({"u": np.concatenate(us), "w": np.concatenate(ws)})
 
     return allowed
 
@@ -219,9 +227,10 @@ def _unsettled(large: DataFrame, roots: DataFrame, texts: DataFrame, similarity:
     """
     placed = large.select("bucket", "same", "n").join(roots, "same", "left").withColumn("root", F.coalesce("root", "same"))
     placed = C.cut(placed, "placed")
-    classes = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-    classes = classes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("size")).where("main.c < size")
-    high, wide = (F.ceil(x / BLOCK).cast("int") for x in (F.col("size") - F.col("main.c"), F.col("size")))
+    classes = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.sum("n").alias("words"))
+    classes = classes.groupBy("bucket").agg(F.max(F.struct("c", "root", "words")).alias("main"), F.sum("c").alias("size"), F.sum("words").alias("words")).where("main.c < size")
+    blocks = lambda nodes, words: F.ceil(F.greatest(nodes / BLOCK, words / BLOCK_WORDS)).cast("int")
+    high, wide = blocks(F.col("size") - F.col("main.c"), F.col("words") - F.col("main.words")), blocks(F.col("size"), F.col("words"))
     classes = classes.select("bucket", F.col("main.root").alias("main"), high.alias("high"), wide.alias("wide"))
     placed = C.cut(placed.join(classes, "bucket"), "unsettled")
     if placed.isEmpty():
