@@ -287,14 +287,17 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 32, p
 
     links = verified(pairs)
     roots = G.components(links).toDF("same", "root")
-    rest = _unsettled(large, roots, texts, similarity)
+    joined, rest = None, _unsettled(large, roots, texts, similarity)
     if rest is not None:
         more = verified(C.cut(rest.join(pairs, ["u", "w"], "left_anti"), "rest"))
         links = links.unionByName(more)
-        if not more.isEmpty():
-            roots = G.components(links).toDF("same", "root")
+        # They join classes, so the classes alone are looked at again.
+        ends = more.join(roots.toDF("u", "ru"), "u", "left").join(roots.toDF("v", "rv"), "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+        joined = None if more.isEmpty() else G.components(ends).toDF("root", "top")
     degree = links.select(F.explode(F.array("u", "v")).alias("same")).groupBy("same").agg(F.count("*").alias("links"))
     labelled = nodes.select("same", "d", "rows").join(roots, "same", "left").withColumn("root", F.coalesce("root", "same"))
+    if joined is not None:
+        labelled = labelled.join(joined, "root", "left").withColumn("root", F.coalesce("top", "root"))
     classes = labelled.groupBy("root").agg(F.min("d").alias("class_id"), F.sum("rows").alias("class_size"))
     labelled = labelled.select("same", "root").join(classes, "root").join(degree, "same", "left").select("same", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"))
     return table.select("d", "v", "same").join(labelled, "same").select("d", "v", "class_id", "class_size", "links")
