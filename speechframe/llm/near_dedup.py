@@ -198,10 +198,18 @@ def least_distances(bag: np.ndarray, bags: np.ndarray, first: np.ndarray, size:
 
 
 def _allowed(similarity: float):
-    """Pairs (u, w) of a block, of different classes so far, that lengths and words allow."""
+    """Pairs (u, w) of a block, of different classes so far, that lengths and words allow.
+
+    A pair is written by the first bucket that holds both, by number, and not again by others.
+    """
 
     def allowed(block: pa.Table) -> pa.Table:
         same, root, n = (block[c].to_numpy() for c in ("same", "root", "n"))
+        block = block.combine_chunks()
+        mine, bucket = block["mine"].chunk(0), block["bucket"][0].as_py()
+        sizes, none = mine.value_lengths().to_numpy(), np.iinfo(np.int64).max
+        buckets = np.full((len(sizes), sizes.max()), none)
+        buckets[np.arange(sizes.max()) < sizes[:, None]] = mine.flatten().to_numpy()
         entries, flat = np.unique(np.frombuffer(b"".join(block["bag"].to_pylist()), "<u4"), return_inverse=True)
         side, ends = block["side"].to_numpy().astype(bool), np.r_[0, np.cumsum(n)]
         others = np.flatnonzero(~side)
@@ -213,6 +221,8 @@ def _allowed(similarity: float):
             for i in np.flatnonzero(side):
                 least = least_distances(flat[ends[i] : ends[i + 1]], theirs, first, len(entries))
                 at = others[(least <= limit_of(n[others], n[i])) & (root[others] != root[i])]
+                shared = np.isin(buckets[at], buckets[i, : sizes[i]])
+                at = at[np.where(shared, buckets[at], none).min(1) == bucket]
                 us.append(np.minimum(same[at], same[i]))
                 ws.append(np.maximum(same[at], same[i]))
         return pa.table({"u": np.concatenate(us), "w": np.concatenate(ws)})
@@ -236,10 +246,12 @@ def _unsettled(large: DataFrame, roots: DataFrame, texts: DataFrame, similarity:
     if placed.isEmpty():
         return None
     bags = texts.join(placed.select("same").distinct(), "same", "left_semi").mapInArrow(_bag_rows, "same long, bag binary")
-    placed = placed.join(bags, "same")
+    # Two buckets a sketch at most.
+    mine = placed.groupBy("same").agg(F.collect_list("bucket").alias("mine"))
+    placed = placed.join(bags, "same").join(mine, "same")
     place = lambda k, blocks: F.pmod(F.xxhash64("same", F.lit(k)), blocks).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    kept = ["bucket", "same", "n", "root", "bag"]
+    kept = ["bucket", "same", "n", "root", "bag", "mine"]
     rows = placed.where("root <> main").select(*kept, F.lit(1).alias("side"), place(0, F.col("high")).alias("i"), every("wide").alias("j"))
     columns = placed.select(*kept, F.lit(0).alias("side"), every("high").alias("i"), place(1, F.col("wide")).alias("j"))
     return rows.unionByName(columns).groupBy("bucket", "i", "j").applyInArrow(_allowed(similarity), "u long, w long").distinct()
