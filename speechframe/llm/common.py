@@ -123,10 +123,10 @@ def word_hashes(texts: list[bytes], separators: np.ndarray) -> tuple[np.ndarray,
 
 
 def groups_of(texts: list[bytes], limit: int = 2_000_000):
-    """Slices of a batch whose texts hold about `limit` bytes together; a longer text stands alone."""
+    """Slices of a batch whose texts hold about `limit` bytes together; a longer text stands alone, also after empty ones."""
     begin = total = 0
     for i, t in enumerate(texts):
-        if total and total + len(t) > limit:
+        if i > begin and total + len(t) > limit:
             yield begin, i
             begin, total = i, 0
         total += len(t)

@@ -77,6 +77,25 @@ def test_long_text_in_ranges(spark, monkeypatch):
     assert found == set(zip(*(x.tolist() for x in whole[1:]), strict=True))
 
 
+@pytest.mark.parametrize("kind", [repeats.Kind("byte", 100, 24, True), repeats.Kind("word", 50, 8, False)])
+def test_long_texts_after_empty_ones(monkeypatch, kind):
+    rng = np.random.default_rng(2)
+    texts = ["", *(" ".join(f"{x}" for x in rng.integers(0, 9, 3000)) for _ in range(2)), "", "", "short", "", " ".join(["x"] * 3000)]
+
+    def found():
+        out = set()
+        for i, shift, units, first, low, high in repeats._pieces([t.encode() for t in texts], kind):
+            text, pos, a, c, left, right = repeats.anchors(units, first, kind)
+            own = (pos >= low) & (pos < high) if shift or high < len(units) else np.ones(len(pos), bool)
+            out |= set(zip(*(x[own].tolist() for x in (i + text, pos + shift, a, c, left, right)), strict=True))
+        return out
+
+    whole = found()
+    assert {row[0] for row in whole} == {1, 2, 7}
+    monkeypatch.setattr(repeats, "CHUNK", 700)
+    assert found() == whole
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 2), st.text(alphabet="ab\0", max_size=60)), min_size=1, max_size=25))
 def test_deep_shallow(rows):
