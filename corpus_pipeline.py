@@ -29,9 +29,11 @@ def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    """Documents that hold no benchmark item, each row by itself: others that share its id, or have none, don't count."""
+    row = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)), F.xxhash64(common.text_or_empty()))
+    docs = docs.withColumn("__row", row)
+    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row").select(F.col("doc_id").alias("__row")).distinct()
+    return docs.join(found, "__row", "left_anti").drop("__row")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,13 @@ def test_stages_stand_odd_rows(spark, tmp_path):
             assert out.count() <= frame.count()
         assert bool(corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).count()) == bool(frame.count())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_decontamination_goes_by_row(spark, tmp_path):
+    item = [f"w{i}" for i in range(24)]
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    whole, halves = " ".join(item), [" ".join(item[:14]), " ".join(item[10:])]
+    rows = [(1, halves[0]), (1, halves[1]), (2, whole), (2, "clean"), (None, whole + " more"), (None, "clean too"), (None, None), (3, whole)]
+    left = corpus_pipeline.without_benchmark(spark, cases.documents(spark, [(*r, "en", "s", 1, "d", "v", 1, 2, 3, 4) for r in rows]), str(tmp_path))
+    assert left.columns == cases.documents(spark, []).columns
+    assert {(r["doc_id"], r["text"]) for r in left.collect()} == {rows[i] for i in (0, 1, 3, 5, 6)}
