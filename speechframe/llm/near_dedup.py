@@ -6,6 +6,9 @@ documents agree on a sketch with a chance that follows their edit similarity, as
 that agree on one of `sketches` and are of like length are candidates; word-level edit distance in a band of the
 allowed distance decides. Classes are connected components of the links found.
 
+Short texts hold too few k-mers for that. Two texts within t edits are equal after up to t deletions from each, so texts
+of up to SHORT words also go by all that up to t deletions leave of them: no similar pair of such texts is missed.
+
 Equal texts are one node. In a bucket of up to PAIRED nodes all pairs are candidates. In a larger one each node first
 goes with the bucket's first and with its neighbour by length, which joins a group of any size without its pairs. What
 such a bucket then still holds in different classes is compared in full, in blocks: the words that two texts share bound
@@ -14,6 +17,9 @@ their distance from below, and only the pairs that this bound allows are written
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,6 +28,8 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import components as G
 
+SHORT, DELETED = 14, 2
+"""Words of a text, and deletions allowed it, up to which what deletions leave is tried: 106 keys at most."""
 PAIRED = 6
 NEIGHBOURS = 1
 BLOCK, BLOCK_WORDS = 1000, 500_000
@@ -66,6 +74,18 @@ def order_min_hash(words: np.ndarray, sketches: int, picks: int, k: int) -> np.n
     return out
 
 
+def deletions(words: np.ndarray, gone: int) -> np.ndarray:
+    """Hashes of all that up to `gone` deletions leave of a text's words, each once."""
+    n, out = len(words), []
+    for left in range(n, max(0, n - gone) - 1, -1):
+        stays = np.array(list(combinations(range(n), left)), np.int64).reshape(comb(n, left), left)
+        folded = np.full(len(stays), left, np.uint64)
+        for k in range(left):
+            folded = C.mix(folded * _SEEDS[-2] + words[stays[:, k]])
+        out.append(folded)
+    return np.unique(np.concatenate(out))
+
+
 def normalised(text: str) -> bytes:
     return text.lower().encode()
 
@@ -73,7 +93,7 @@ def normalised(text: str) -> bytes:
 _SKETCH_DDL = "d long, v long, n int, same long, sketches array<long>"
 
 
-def _sketcher(sketches: int, picks: int, k: int):
+def _sketcher(sketches: int, picks: int, k: int, similarity: float):
     def sketch(batches):
         C.only_kept(())
         for batch in C.slices(batches):
@@ -85,8 +105,11 @@ def _sketcher(sketches: int, picks: int, k: int):
                 same.append(C.range_hash(sums, first[:-1], first[1:]).view(np.int64))
                 sizes.append(np.diff(first))
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    found.append(order_min_hash(words[a:b], sketches, picks, k).view(np.int64))
-            arrays = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * sketches), pa.array(np.concatenate(found)) if found else pa.array([], pa.int64()))
+                    keys, gone = order_min_hash(words[a:b], sketches, picks, k), int((1 - similarity) * (b - a) + 1e-9)
+                    if 0 < b - a <= SHORT and gone <= DELETED:
+                        keys = np.concatenate([keys, deletions(words[a:b], gone)])
+                    found.append(keys.view(np.int64))
+            arrays = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(np.concatenate(found)) if found else pa.array([], pa.int64()))
             yield pa.record_batch([batch["d"], batch["v"], pa.array(np.concatenate(sizes).astype(np.int32) if sizes else [], pa.int32()), pa.array(np.concatenate(same) if same else [], pa.int64()), arrays], names=["d", "v", "n", "same", "sketches"])
 
     return sketch
@@ -246,7 +269,7 @@ def _unsettled(large: DataFrame, roots: DataFrame, texts: DataFrame, similarity:
     if placed.isEmpty():
         return None
     bags = texts.join(placed.select("same").distinct(), "same", "left_semi").mapInArrow(_bag_rows, "same long, bag binary")
-    # Two buckets a sketch at most.
+    # Two buckets a sketch, or key of a short text, at most.
     mine = placed.groupBy("same").agg(F.collect_list("bucket").alias("mine"))
     placed = placed.join(bags, "same").join(mine, "same")
     place = lambda k, blocks: F.pmod(F.xxhash64("same", F.lit(k)), blocks).cast("int")
@@ -267,7 +290,7 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 32, p
     spark = docs.sparkSession
     C.ship(spark)
     rows = C.keyed(docs, id_col, text_col)
-    table = C.cut(rows.mapInArrow(_sketcher(sketches, picks, k), _SKETCH_DDL), "sketches")
+    table = C.cut(rows.mapInArrow(_sketcher(sketches, picks, k, similarity), _SKETCH_DDL), "sketches")
     # One node for texts of equal words: the smallest id, with its checksum; other copies are members only.
     nodes = table.groupBy("same").agg(F.min(F.struct("d", "v", "n", "sketches")).alias("x"), F.count("*").alias("rows")).select("same", "x.*", "rows")
     nodes = C.cut(nodes, "nodes")

@@ -90,6 +90,22 @@ def test_near_like_all_pairs(spark):
     assert near_dedup.near_classes(cases.documents(spark, [])).count() == 0
 
 
+def test_near_short_texts_like_all_pairs(spark):
+    rng = random.Random(3)
+    texts = ["a b c d e", "a b c d e f", "a b x d e f", "k l m n", "k l m n o", "0 1 2 3 4 5 6 7 8 9", "0 1 2 3 x 5 6 7 8 9"]
+    for n in [*range(1, 15)] * 3:
+        texts.append(" ".join(f"t{len(texts)}w{rng.randint(0, 30)}" for _ in range(n)))
+        for _ in range(2):
+            w = texts[-1].split()
+            for _ in range(rng.randint(1, 2)):
+                i = rng.randrange(len(w) + 1)
+                w[i : i + rng.randint(0, 1)] = [f"new{rng.randint(0, 9)}"] * rng.randint(0, 1)
+            texts.append(" ".join(w[:14]))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["d"], r["class_id"], r["class_size"]) for r in got) == near_classes_plainly(rows)
+
+
 def test_near_recall_on_documents(spark, sf_dir):
     """Every pair of texts that all-pairs comparison links is in one class."""
     rows = duckdb.sql(f"select doc_id, text from '{sf_dir}/documents.parquet'").fetchall()
