@@ -1,9 +1,9 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search, verified exactly. DataFrame functions only.
+"""Benchmark decontamination by an exact inverted join on shingles. DataFrame functions only.
 
 Shingles are five consecutive words. Items are partitioned by their number n of shingles; an item's sketch is its k
 smallest shingle hashes (a bottom-k MinHash), with k = n - ceil(t * n) + 1 for its partition. A document that holds a
-share t of the shingles misses at most k - 1, so it holds one of any k: the search by sketches loses no such document,
-however long it is. Candidates are then verified by the exact share of the item's shingles that the document holds.
+share t of the shingles misses at most k - 1, so it holds one of any k. Documents are joined with all shingles of items,
+not with sketches first, so the test for a sketch's member never changes the result; the exact share decides.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
         entries = F.broadcast(entries)
     hits = _shingle_rows(docs, id_col, text_col, "doc_id", k).join(entries, "shingle").select("doc_id", "shingle", "items").distinct()
     hits = hits.select("doc_id", "shingle", F.inline("items"))
-    # Candidates hold a member of the sketch; the rest of their hits verify them.
+    # All that meet the threshold hold a member of the sketch, so this drops none of them.
     found = hits.groupBy("doc_id", "item_id", "item_shingles").agg(F.count("shingle").alias("shared_shingles"), F.max("in_sketch").alias("candidate")).where("candidate")
     share = F.col("shared_shingles") / F.col("item_shingles")
     return found.select("doc_id", "item_id", "item_shingles", "shared_shingles", share.alias("containment")).where(F.col("containment") >= threshold)
