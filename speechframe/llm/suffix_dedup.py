@@ -1,8 +1,8 @@
 """Removal of repeated byte strings by sparse suffix arrays, sorted deep-shallow.
 
 Equal strings of `window` bytes share an anchor at the same place in them (see repeats.py), so only suffixes that
-start at an anchor are sorted, and only against those of the same gram. Multikey quicksort orders them to a shallow
-depth, eight bytes to a symbol and only where buckets are still tied; blind tries order what shares more than that.
+start at an anchor are sorted, and only against those of the same gram. They are ordered to a shallow depth level
+by level, by np.lexsort on symbols of eight bytes, where buckets are still tied; blind tries order what shares more than that.
 From the suffix array and its common prefixes, every string around an anchor finds those equal to it.
 """
 
