@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,11 @@ NO_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where the session names none."""
+    """The folder named in spark.checkpoint.dir. One of our own only where none is named and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="speechframe-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -42,17 +45,21 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def keyed_columns(id_col: str = "doc_id", text_col: str = "text") -> dict[str, Column]:
+    """d, v, text: the id (null: NO_ID), a checksum that tells apart rows sharing an id, the text (null: empty)."""
+    text = text_or_empty(text_col)
+    return {"d": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "v": F.crc32(text.cast("binary")).cast("long"), "text": text}
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(d, v, text): the id (null: NO_ID), a checksum that tells apart rows sharing an id, the text (null: empty).
+    """keyed_columns() alone, so further columns of any name do no harm."""
+    return docs.select(*(column.alias(name) for name, column in keyed_columns(id_col, text_col).items()))
 
-    Only these columns are taken, so further columns of any name do no harm.
-    """
-    text = text_or_empty(text_col)
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"),
-        F.crc32(text.cast("binary")).cast("long").alias("v"),
-        text.alias("text"),
-    )
+
+def by_position(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns named c0, c1 and so on, and these names by the old ones: none clashes with what is joined."""
+    new = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*new), dict(zip(docs.columns, new, strict=True))
 
 
 def id_back(name: str = "d") -> Column:
