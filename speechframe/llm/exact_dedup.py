@@ -5,7 +5,7 @@
    Entries go to the shared folder as the pages of the index; their text is stored deflated, once per entry.
 2. Directory: from the histogram of hash prefixes (a bounded number of counters), the directory doubles until no
    bucket that can be split holds more than `bucket_bytes`.
-3. Owners: each task owns buckets, reads their entries in hash order, and chains entries of equal hash, comparing
+3. Owners: each task owns a range of keys, buckets that follow each other, reads their entries in hash order, and chains entries of equal hash, comparing
    bytes. A chain holds the different texts of one hash value only, and of a group's entries just the ids.
 """
 
@@ -74,7 +74,7 @@ _GROUP = pa.schema([("entry", pa.int64()), ("keep", pa.int64()), ("size", pa.int
 
 def _own(batches):
     """Entries in order of hash: chain those of one hash, and give each entry its group's result."""
-    now, chain = None, []
+    now, chain, inflate = None, [], zstandard.ZstdDecompressor().decompress
 
     def results():
         rows = [(e, top, size, top_row) for _, entries, top, top_row, size in chain for e in entries]
@@ -88,7 +88,7 @@ def _own(batches):
                     done.append(results())
                 now, chain = h, []
             for link in chain:
-                if link[0] == page:  # the same bytes deflate to the same page, and no others do
+                if link[0] == page or inflate(link[0]) == inflate(page):  # by bytes; pages may be deflated unlike
                     link[1].append(entry)
                     link[2], link[3] = max((link[2], link[3]), (top, top_row), key=lambda x: (x[0], -x[1]))
                     link[4] += rows
@@ -102,7 +102,7 @@ def _own(batches):
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 1 << 20) -> DataFrame:
-    """One row per row of docs: d, keep_id, group_size, kept, text_sha256 (of the normalised text).
+    """One row per row of docs: d, keep (the id that stays), group_size, kept, text_sha256 (of the normalised text).
 
     Texts are equal when identical after lower-casing A-Z; a null text is the empty text, which is a text like any
     other. Of equal texts the row with the largest id stays (a null id is the smallest); of rows that repeat that
@@ -131,10 +131,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             k += 1
         where.append((p, k))
     table = spark.createDataFrame(where or [(0, 0)], "p long, bucket int")
+    # Buckets are numbered in order of their keys: each owner gets a range of keys.
+    owners = min(len(buckets), int(spark.conf.get("spark.sql.shuffle.partitions")))
     owned = (
         entries.select(*_OWNED, at.alias("p"))
         .join(F.broadcast(table), "p")
-        .repartition(F.col("bucket"))
+        .repartitionById(owners, F.floor(F.col("bucket") * F.lit(owners) / F.lit(len(buckets))).cast("int"))
         .sortWithinPartitions("bucket", "h", "entry")
         .select(*_OWNED)
     )
@@ -144,17 +146,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text a row that stays has; all columns kept.
+    """docs without the rows whose text a row that stays has; all columns kept, whatever their names.
 
-    Rows are looked up by id and text: of rows that repeat both, one comes out.
+    Of rows that repeat the largest id and the text, in either case of A-Z (null is the empty text), one comes out.
+    An empty table stays empty.
     """
     found = C.cut(exact_groups(docs, id_col, text_col), "groups")
-    stays = found.where("kept").select(F.col("d").alias("__d"), F.col("text_sha256").alias("__sha"))
-    lower = F.translate(C.text_or_empty(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    same = (F.coalesce(docs[id_col].cast("long"), F.lit(C.NO_ID)) == F.col("__d")) & (F.sha2(lower.cast("binary"), 256) == F.col("__sha"))
-    out = docs.join(stays, same, "left_semi")
-    repeats = found.where("d = keep and not kept").limit(1).count()
-    return out.dropDuplicates([id_col, text_col]) if repeats else out
+    stays = found.where("kept").select("d", F.col("text_sha256").alias("sha"))
+    wide, column = C.by_position(docs)
+    own = C.keyed_columns(column[id_col], column[text_col])
+    lower = F.translate(own["text"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    out = wide.withColumns({"d": own["d"], "sha": F.sha2(lower.cast("binary"), 256)}).join(stays, ["d", "sha"], "left_semi")
+    if found.where("d = keep and not kept").limit(1).count():
+        out = out.dropDuplicates(["d", "sha"])
+    return out.drop("d", "sha").toDF(*docs.columns)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
