@@ -1,26 +1,43 @@
-"""Benchmark decontamination by an exact inverted join on shingles. DataFrame functions only.
+"""Benchmark decontamination by size-partitioned MinHash containment search. DataFrame functions only.
 
-Shingles are five consecutive words. Items are partitioned by their number n of shingles; an item's sketch is its k
-smallest shingle hashes (a bottom-k MinHash), with k = n - ceil(t * n) + 1 for its partition. A document that holds a
-share t of the shingles misses at most k - 1, so it holds one of any k. Documents are joined with all shingles of items,
-not with sketches first, so the test for a sketch's member never changes the result; the exact share decides.
+Shingles are five consecutive words. Items are partitioned by size: those of a partition may lack the same number m of
+their n shingles and still meet the threshold t, m = n - ceil(t * n). An item's sketch is its m + 1 smallest shingle
+hashes, a bottom-k MinHash with one k for the partition. A document that holds a share t of the item lacks m shingles
+at most, so it holds a member of the sketch, however long it is. So documents are searched for sketches alone, about a
+fifth of the items' shingles, and no contained item is missed. The documents and items found so are candidates; each
+is verified by all of the item's shingles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Benchmark shingles up to which they are broadcast (16 bytes each, 32 MB); more are joined by shuffle.
-BROADCAST_SHINGLES = 2_000_000
+from . import common as C
 
+#: Rows up to which a table of 16-byte entries is broadcast (32 MB); larger ones are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 
-def _shingle_rows(df: DataFrame, id_col: str, text_col: str, name: str, k: int) -> DataFrame:
-    """(name, shingle) for each shingle, with repeats; words are split and hashed once per text."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    hashed = df.select(F.col(id_col).alias(name), F.explode(F.array(F.transform(words, lambda w: F.xxhash64(w)))).alias("w"))
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(k)]))
-    return hashed.where(F.size("w") >= k).select(name, F.explode(grams).alias("shingle"))
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _hashed(df: DataFrame, text_col: str, k: int, *kept: Column) -> DataFrame:
+    """kept and w, the hashes of the words, for texts of k words or more; they are split and hashed once per text."""
+    words = F.filter(F.split(F.lower(C.text_or_empty(text_col)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return df.select(*kept, F.explode(F.array(F.transform(words, lambda w: F.xxhash64(w)))).alias("w")).where(F.size("w") >= k)
+
+
+def _grams(k: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(k)]))
+
+
+def sketches(items: DataFrame, threshold: float) -> DataFrame:
+    """The entries (item_id, shingle) of the items' sketches, from (item_id, shingle, item_shingles) without repeats."""
+    lacking = F.col("item_shingles") - F.ceil(F.lit(threshold) * F.col("item_shingles") - F.lit(1e-9))
+    at = F.row_number().over(Window.partitionBy("item_id").orderBy("shingle"))
+    return items.withColumn("size_partition", lacking).withColumn("at", at).where(F.col("at") <= F.col("size_partition") + 1).select("item_id", "shingle")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -29,25 +46,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
     A null text is empty. Items and documents under k words have no shingle and match nothing. Rows that repeat an id
     are read as one document, or item, with the shingles of all of them; a null id is an id. Empty tables give none.
+    So that rows of one id count together, each row is searched for what it alone holds of a sketch.
+    """
+    of_item = _hashed(benchmark, item_text_col, k, F.col(item_col).alias("item_id")).select("item_id", F.explode(_grams(k)).alias("shingle")).distinct()
+    items = C.cut(of_item.withColumn("item_shingles", F.count("shingle").over(Window.partitionBy("item_id"))), "items")
+    entries = C.cut(sketches(items, threshold), "item-sketches")
+    of_doc = _hashed(docs, text_col, k, F.col(id_col).alias("doc_id")).select("doc_id", F.explode(_grams(k)).alias("shingle"))
+    found = C.cut(of_doc.join(_small(entries), "shingle").select("doc_id", "item_id").distinct(), "candidates")
+    # The rows of candidates only, with all their shingles once, against all shingles of their candidates' items.
+    wanted = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id")).alias("items")).withColumnRenamed("doc_id", "found")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(_small(wanted), F.col("doc_id").eqNullSafe(F.col("found")))
+    rows = _hashed(rows, "text", k, F.col("doc_id"), F.col("items")).select("doc_id", "items", F.explode(F.array(_grams(k))).alias("grams"))
+    whole = items.groupBy(F.col("item_id").alias("item"), "item_shingles").agg(F.collect_list("shingle").alias("shingles"))
+    whole = F.broadcast(whole) if items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else whole
+    pairs = rows.select("doc_id", "grams", F.inline("items")).join(whole, F.col("item_id").eqNullSafe(F.col("item")))
+    shared = pairs.select("doc_id", "item_id", "item_shingles", F.explode(F.array_intersect("grams", "shingles")).alias("shingle")).distinct()
+    counted = shared.groupBy("doc_id", "item_id", "item_shingles").agg(F.count("shingle").alias("shared_shingles"))
+    return counted.withColumn("containment", F.col("shared_shingles") / F.col("item_shingles")).where(F.col("containment") >= threshold)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without the rows that hold an item by themselves; all columns kept, whatever their names.
+
+    Rows that share an id, or have none, are judged each on its own text; rows that repeat both go or stay together.
+    Empty tables drop nothing.
     """
-    items = _shingle_rows(benchmark, item_col, item_text_col, "item_id", k).distinct()
-    by_item = Window.partitionBy("item_id")
-    n = F.col("item_shingles")
-    items = (
-        items.withColumn("item_shingles", F.count("shingle").over(by_item))
-        .withColumn("at", F.row_number().over(by_item.orderBy("shingle")))
-        .withColumn("in_sketch", F.col("at") <= n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)) + 1)
-        .drop("at")
-    )
-    entries = items.groupBy("shingle").agg(F.collect_list(F.struct("item_id", "item_shingles", "in_sketch")).alias("items"))
-    if items.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES:
-        entries = F.broadcast(entries)
-    hits = _shingle_rows(docs, id_col, text_col, "doc_id", k).join(entries, "shingle").select("doc_id", "shingle", "items").distinct()
-    hits = hits.select("doc_id", "shingle", F.inline("items"))
-    # All that meet the threshold hold a member of the sketch, so this drops none of them.
-    found = hits.groupBy("doc_id", "item_id", "item_shingles").agg(F.count("shingle").alias("shared_shingles"), F.max("in_sketch").alias("candidate")).where("candidate")
-    share = F.col("shared_shingles") / F.col("item_shingles")
-    return found.select("doc_id", "item_id", "item_shingles", "shared_shingles", share.alias("containment")).where(F.col("containment") >= threshold)
+    wide, column = C.by_position(docs)
+    own = C.keyed_columns(column[id_col], column[text_col])
+    wide = wide.withColumn("row", F.struct(own["d"].alias("d"), F.xxhash64(own["text"]).alias("h")))
+    found = contaminated(wide, benchmark, id_col="row", text_col=column[text_col], **options).select(F.col("doc_id").alias("row")).distinct()
+    return wide.join(found, "row", "left_anti").drop("row").toDF(*docs.columns)
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
