@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, d string, v string, a long, size int, same int, row int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, d string, v string, a long, size int, same int, row int, class_id long, __v long, __d long, __sha string, __id long, __row long, sha string, h long, c0 long, root long, first long"
 """The columns of documents, and some whose names operators use inside."""
 
 
@@ -33,7 +33,10 @@ def odd_rows(seed=7, base=40):
 
 
 def documents(spark, rows=None):
-    return spark.createDataFrame(odd_rows() if rows is None else rows, SCHEMA)
+    """Rows as far as they go; the other columns, whose names clash with those that operators use, are 7."""
+    width = SCHEMA.count(",") + 1
+    odd = [(*r, *["7" if c.strip().endswith("string") else 7 for c in SCHEMA.split(",")[len(r) : width]]) for r in (odd_rows() if rows is None else rows)]
+    return spark.createDataFrame(odd, SCHEMA)
 
 
 def least(i):

@@ -31,6 +31,26 @@ def test_exact(spark):
     assert exact_dedup.exact_groups(cases.documents(spark, [])).count() == 0 == exact_dedup.keep_exact(cases.documents(spark, [])).count()
 
 
+def test_exact_repeats_in_either_case(spark):
+    docs = cases.documents(spark, [(1, t, *[None] * (len(cases.documents(spark, []).columns) - 2)) for t in ("Hello", "hello", "hello", None, "", "other")])
+    assert sorted((r["text"] or "").lower() for r in exact_dedup.keep_exact(docs).collect()) == ["", "hello", "other"]
+    assert near_dedup.keep_one(docs).count() == 3
+
+
+def test_exact_pages_are_compared_as_bytes():
+    """One hash for different texts, and pages of one text deflated in two ways."""
+    import pyarrow as pa
+    import zstandard
+
+    page = lambda t, summed: zstandard.ZstdCompressor(level=1, write_checksum=summed).compress(t)
+    text = b"some words " * 400 + bytes(range(256))
+    assert page(text, True) != page(text, False)
+    rows = [(7, 1, 1, 10, 1, page(text, True)), (7, 2, 2, 30, 2, page(text, False)), (7, 3, 1, 20, 3, page(b"other", True)), (8, 4, 1, 5, 4, page(text, True))]
+    batch = pa.record_batch([pa.array(x) for x in zip(*rows, strict=True)], names=list(exact_dedup._OWNED))
+    got = {r["entry"]: (r["keep"], r["size"], r["keep_row"]) for b in exact_dedup._own([batch]) for r in b.to_pylist()}
+    assert got == {1: (30, 3, 2), 2: (30, 3, 2), 3: (20, 1, 3), 4: (5, 1, 4)}
+
+
 def test_directory_splits_only_what_can_be_split():
     rng = random.Random(0)
     counts = {rng.getrandbits(10): rng.randint(1, 50) for _ in range(300)} | {5: 10_000}
@@ -57,6 +77,46 @@ def test_banded_alignment(a, b, limit):
     assert near_dedup.banded_distance(a, b, limit) == min(levenshtein(a, b), limit + 1)
 
 
+def numbered(words):
+    import numpy as np
+
+    return np.array([hash(x) for x in words], np.int64)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=20), st.lists(st.integers(0, 4), max_size=20), st.sampled_from([0.5, 0.8, 0.9]))
+def test_similar_like_plain_distance(a, b, similarity):
+    most = max(len(a), len(b))
+    assert near_dedup.edit_similar(numbered(a), numbered(b), similarity) == (levenshtein(a, b) <= int((1 - similarity) * most + 1e-9))
+
+
+def edited(rng, words, similarity, evenly):
+    """A copy at just this similarity: words changed, each for a new one, evenly spread or at random places."""
+    n = int((1 - similarity) * len(words) + 1e-9)
+    at = [int((i + 1) * len(words) / n) - 1 for i in range(n)] if evenly else rng.sample(range(len(words)), n)
+    out = list(words)
+    for i in at:
+        out[i] = f"new{rng.randint(0, 10**9)}"
+    return out
+
+
+def test_near_recall_on_planted_pairs(spark):
+    """At least nine in ten of the pairs of each similarity from 0.8 on, for edits evenly spread and at random places."""
+    rng, rows, kinds = random.Random(9), [], []
+    for similarity in (0.8, 0.82, 0.85, 0.9, 0.95):
+        for evenly in (True, False):
+            for k in range(60):
+                words = [f"w{rng.randint(0, 30_000)}" for _ in range((20, 40, 100, 300)[k % 4])]
+                kinds.append((similarity, evenly))
+                rows += [(2 * len(kinds), " ".join(words)), (2 * len(kinds) + 1, " ".join(edited(rng, words, similarity, evenly)))]
+    got = {r["d"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[d] in (d, d - d % 2) for d in got)
+    found = defaultdict(list)
+    for i, kind in enumerate(kinds, 1):
+        found[kind].append(got[2 * i + 1] == 2 * i)
+    assert min(sum(x) / len(x) for x in found.values()) >= 0.9, {k: sum(x) / len(x) for k, x in found.items()}
+
+
 def near_classes_plainly(rows):
     import regex
 
@@ -72,11 +132,12 @@ def near_classes_plainly(rows):
         for j in range(i):
             b = texts[j]
             most = max(len(a), len(b))
-            if min(len(a), len(b)) >= 0.8 * most and (a == b or (most and near_dedup.edit_similar([hash(x) for x in a], [hash(x) for x in b], 0.8))):
+            if min(len(a), len(b)) >= 0.8 * most and (a == b or (most and near_dedup.edit_similar(numbered(a), numbered(b), 0.8))):
                 root[find(i)] = find(j)
     classes = defaultdict(list)
     for i, r in enumerate(rows):
         classes[find(i)].append(cases.least(r[0]))
+    near_classes_plainly.classes = len(classes)
     return Counter((i, min(ids), len(ids)) for ids in classes.values() for i in ids)
 
 
@@ -86,7 +147,7 @@ def test_near_like_all_pairs(spark):
     assert Counter((r["d"], r["class_id"], r["class_size"]) for r in got) == near_classes_plainly(rows)
     docs = cases.documents(spark, rows)
     stays = near_dedup.keep_one(docs)
-    assert stays.columns == docs.columns and stays.count() == len({r["class_id"] for r in got})
+    assert stays.columns == docs.columns and stays.count() == near_classes_plainly.classes == len({(r["class_id"], r["class_v"]) for r in got})
     assert near_dedup.near_classes(cases.documents(spark, [])).count() == 0
 
 
@@ -146,6 +207,7 @@ def test_a_large_bucket_loses_no_link(spark):
         got = near_dedup.near_classes(cases.documents(spark, rows)).collect()
     finally:
         near_dedup.BLOCK, near_dedup.PAIRED = block, paired
+    assert sum(r["links"] for r in got) < 2 * 8 * len(rows)
     assert Counter((r["d"], r["class_id"], r["class_size"]) for r in got) == near_classes_plainly(rows)
 
 
@@ -202,12 +264,26 @@ def test_decontamination(spark):
     assert got[3, 3]["shared_shingles"] == 49 and got[3, 3]["item_shingles"] == 56
     for d, b in ((cases.documents(spark, []), bench), (docs, bench.limit(0))):
         assert decontamination.contaminated(d, b).count() == 0
-    shuffled = decontamination.BROADCAST_SHINGLES
+    shuffled = decontamination.BROADCAST_ROWS
     try:
-        decontamination.BROADCAST_SHINGLES = 1
+        decontamination.BROADCAST_ROWS = 1
         assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).collect()} == set(got)
     finally:
-        decontamination.BROADCAST_SHINGLES = shuffled
+        decontamination.BROADCAST_ROWS = shuffled
+
+
+def test_decontamination_finds_by_sketches_only(spark, monkeypatch):
+    """Without an item's sketch its copies aren't found; a sketch is as long as its size partition asks."""
+    whole = decontamination.sketches
+    item = [f"w{i}" for i in range(24)]
+    docs = spark.createDataFrame([(1, " ".join(item)), (2, "x y z"), (3, " ".join(item[:21]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontamination.contaminated(docs, bench).collect()} == {1, 3}
+    monkeypatch.setattr(decontamination, "sketches", lambda items, t: whole(items, t).limit(0))
+    assert decontamination.contaminated(docs, bench).count() == 0
+    table = spark.createDataFrame([(n, h, n) for n in (1, 4, 5, 9, 10, 20) for h in range(n)], "item_id long, shingle long, item_shingles long")
+    sizes = Counter(r["item_id"] for r in whole(table, 0.8).collect())
+    assert sizes == {1: 1, 4: 1, 5: 2, 9: 2, 10: 3, 20: 5}
 
 
 def test_long_text_is_one_document(spark):
