@@ -1,7 +1,9 @@
 """From documents to packed training sequences: five stages, each on all that the one before kept.
 
-Every stage but the last returns the columns of documents. A null text counts as empty; see the operators for ties,
-repeated rows and empty tables, which no stage treats differently.
+Every stage but the last returns the columns of documents, further ones of any name included. A null text counts as
+empty, and a text of any length is read whole. Rows that repeat are judged alike by the classifier and the
+decontamination; both dedup stages keep one row of those that repeat the id that stays and its text. Of equal texts the
+largest id stays, of near duplicates the smallest; a null id is the smallest. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,10 +32,7 @@ def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, each row by itself: others that share its id, or have none, don't count."""
-    row = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)), F.xxhash64(common.text_or_empty()))
-    docs = docs.withColumn("__row", row)
-    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row").select(F.col("doc_id").alias("__row")).distinct()
-    return docs.join(found, "__row", "left_anti").drop("__row")
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
