@@ -182,6 +182,50 @@ def test_minimax_like_plain_search():
         assert max(load.values()) <= capacity and len(firsts) < shards
 
 
+def balanced(sizes, shards):
+    """The least possible largest shard when groups over an equal share of the rest have shards of their own."""
+    sizes, alone = list(sizes), []
+    while len(alone) < shards - 1 and sizes and max(sizes) * (shards - len(alone)) > sum(sizes):
+        alone.append(max(sizes))
+        sizes.remove(max(sizes))
+    return alone, sizes
+
+
+def test_shards_are_even_beside_large_groups():
+    rng = random.Random(6)
+    for _ in range(200):
+        shards = rng.randint(2, 24)
+        groups = {rng.randrange(-(2**63), 2**63): rng.randint(1, 30) for _ in range(rng.randint(shards * 4, 600))}
+        for _ in range(rng.randint(0, 2)):  # a text of a third of all rows, or more of them
+            groups[rng.randrange(-(2**63), 2**63)] = sum(groups.values()) // 2
+        at = defaultdict(list)
+        for h, n in groups.items():
+            at[h >> 52].append((h, n))
+        cell = lambda x: (min(x)[0], max(x)[0], sum(n for _, n in x))
+
+        def zoom(open_, groups=groups, cell=cell):
+            out = []
+            for a, b, _ in open_:
+                parts = defaultdict(list)
+                for h, n in groups.items():
+                    if a <= h <= b:
+                        parts[(h - a) // (((b - a) >> 8) + 1)].append((h, n))
+                out += [cell(x) for x in parts.values()]
+            return out
+
+        alone, rest = sharding.large_groups([cell(x) for x in at.values()], shards, zoom)
+        big, others = balanced(groups.values(), shards)
+        assert [x[2] for x in alone] == big and sum(x[2] for x in rest) == sum(others)
+        capacity, firsts = sharding.minimax(rest, shards - len(alone), zoom)
+        left = sorted((h, n) for h, n in groups.items() if h not in {x[0] for x in alone})
+        load = Counter({k: 0 for k in range(shards - len(alone))})
+        for h, n in left:
+            load[sum(h >= f for f in firsts)] += n
+        share = sum(others) / len(load)
+        assert capacity == least_capacity([n for _, n in left], len(load)) >= max(load.values())
+        assert min(load.values()) >= share - max(others), (load, share)
+
+
 def test_sharding(spark):
     rows = cases.odd_rows()
     got = sharding.shard_by_bytes(cases.documents(spark, rows), 4).collect()
@@ -197,6 +241,21 @@ def test_sharding(spark):
     assert sharding.shard_by_bytes(cases.documents(spark, [])).count() == 0
 
 
+def test_no_shard_is_empty_beside_a_hot_text(spark):
+    rows = [(i, "the same text " * 20 if i % 3 == 0 else f"text {i} " * (2 + i % 5)) for i in range(1200)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    load, slots, hot = Counter(), defaultdict(list), set()
+    for r in got:
+        load[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        if r["d"] % 3 == 0:
+            hot.add(r["shard"])
+    assert set(load) == set(range(24)) and len(hot) == 1
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    rest = [load[k] for k in load if k not in hot]
+    assert max(rest) - min(rest) < 150
+
+
 def test_quality(spark, sf_dir):
     """Held-out accuracy, on the smallest tables with some hundred labels."""
     sf_dir = sf_dir.replace("sf0.001", "sf0.01")
