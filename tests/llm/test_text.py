@@ -31,14 +31,21 @@ ODD = st.lists(st.sampled_from(["a", "b", " ", "  ", "'s", "'", "ll", "é", "1",
 @settings(max_examples=300, deadline=None)
 @given(ODD)
 def test_counts_like_the_library(libraries, text):
-    counter = COUNTER.setdefault(0, token_counts.Counter(BYTES))
+    counter = byte_counter()
     want = len(libraries[0].encode(text, add_special_tokens=False).ids)
-    assert counter(text) == want
-    whole, token_counts.CHUNK = token_counts.CHUNK, 5
+    assert counter([text, "", text + text[:3]])[:2] == [want, 0]
+    whole = token_counts.CHUNK, token_counts.LOOK_BACK
     try:
-        assert counter(text) == want
+        for token_counts.CHUNK, token_counts.LOOK_BACK in ((5, 64), (3, 1), (7, 0)):
+            assert counter([text]) == [want]
     finally:
-        token_counts.CHUNK = whole
+        token_counts.CHUNK, token_counts.LOOK_BACK = whole
+
+
+def byte_counter():
+    if 0 not in COUNTER:
+        COUNTER[0] = token_counts.Counter(BYTES)
+    return COUNTER[0]
 
 
 COUNTER: dict = {}
@@ -51,25 +58,50 @@ def test_ids_like_the_library(libraries, text):
     assert encode([text])[0] == np.array(libraries[1].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def test_maps_compose_in_any_grouping():
-    c = COUNTER.setdefault(0, token_counts.Counter(BYTES))
-    parts = ["one two", " three", "x y", "", "    ", "!!", " four's", "z"]
-    maps = [c.chunk(p) for p in parts]
-    left = maps[0]
-    for m in maps[1:]:
-        left = c.join(left, m)
-    right = maps[-1]
-    for m in reversed(maps[:-1]):
-        right = c.join(m, right)
-    done = lambda m: c.run(m[0]) if len(m) == 1 else c.run(m[0]) + m[1] + c.run(m[2])
-    assert done(left) == done(right) == c("".join(parts))
+@pytest.mark.parametrize("text", ["one two three x y     !! four's z", "averylongwordwithoutanyspaceinit" * 4, "日本語の長い文章です" * 9])
+def test_maps_compose_in_any_grouping(libraries, monkeypatch, text):
+    monkeypatch.setattr(token_counts, "CHUNK", 6)
+    monkeypatch.setattr(token_counts, "LOOK_BACK", 3)
+    c = byte_counter()
+    maps, _, chunks = c.maps([text])
+    join = lambda a, b: (c.compose(a[0], b[0], c.over(chunks, b[1], b[2])), a[1], b[2])
+    each = [(m, k, k) for k, m in enumerate(maps)]
+    left = each[0]
+    for m in each[1:]:
+        left = join(left, m)
+    right = each[-1]
+    for m in reversed(each[:-1]):
+        right = join(m, right)
+    half = len(each) // 2
+    first, second = each[0], each[half]
+    for m in each[1:half]:
+        first = join(first, m)
+    for m in each[half + 1 :]:
+        second = join(second, m)
+    assert left[0][None] == right[0][None] == join(first, second)[0][None]
+    assert left[0][None][1] == len(libraries[0].encode(text).ids)
+
+
+def test_words_start_where_the_split_says():
+    import regex
+
+    rng, split = random.Random(8), regex.compile(token_counts.SPLIT)
+    kinds = token_counts.character_kinds()
+    marks = ["'", "s", "r", "e", "l", "v", "a", "É", "1", "٣", " ", "  ", "\n", "\t", "\xa0", "!", "-", "\u0301", "日", "\x1c", "\x85", "\u2028"]
+    for _ in range(3000):
+        text = "".join(rng.choices(marks, k=rng.randint(1, 14)))
+        points = np.array([0x110000, *map(ord, text), 0x110000], np.uint32)
+        got = np.flatnonzero(token_counts.word_starts(points, kinds)[1:-1]).tolist()
+        assert got == [m.start() for m in split.finditer(text)], text
 
 
 def test_states_are_dropped_when_too_many(libraries, monkeypatch):
     monkeypatch.setattr(token_counts, "_MAX_STATES", 50)
-    monkeypatch.setattr(token_counts, "_MAX_WORDS", 5)
-    c, text = token_counts.Counter(BYTES), cases.prose(random.Random(0), 200)
-    assert c(text) == len(libraries[0].encode(text).ids)
+    monkeypatch.setattr(token_counts, "_MAX_PAIRS", 50)
+    monkeypatch.setattr(token_counts, "_WIDTH", 20)
+    c = token_counts.Counter(BYTES)
+    texts = [cases.prose(random.Random(k), 200) for k in range(5)] + ["日本語 été"] * 2
+    assert c(texts) == [len(libraries[0].encode(t).ids) for t in texts] == c(texts)
 
 
 def test_token_counts(spark, libraries):
