@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ship import package as ship  # noqa: F401
+from ..functions.ship import package
 
 NO_ID = -(2**63)
 """Stands for a null doc_id inside an operator, so that such rows still join and sort first."""
 
 
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ship(spark: SparkSession) -> None:
+    """What Python workers need: the package, and batches of 8 MB, as rows may hold very long texts. A size that the session
+    sets itself stays."""
+    package(spark)
+    if spark.conf.get(_ARROW_BYTES, None) is None:
+        spark.conf.set(_ARROW_BYTES, str(8 << 20))
+
+
 # ------------------------------------------------------------------ tables on the shared folder
 
 
@@ -31,13 +45,52 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later steps neither repeat its work nor hang on its shuffles."""
+_open: list[list[str]] = []  # the tables of each scratch() that is open
+
+
+def cut(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: later steps neither repeat its work nor hang on its shuffles.
+
+    lasting: the table stays when the scratch() around it ends, and goes with the next one outside, if any.
+    """
     path = f"{shared_dir(df.sparkSession)}/speechframe/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
+    if (level := len(_open) - lasting) > 0:
+        _open[level - 1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables cut inside, but lasting ones, at the end.
+
+    What leaves must have been cut as lasting, as it can't be made again from tables that are gone.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Files of shuffles go when the driver finds that nothing refers to them; else that may be half an hour later."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: Bytes up to which a table is broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32_000_000
+
+
+def small(df: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """df, to be broadcast if its rows are few enough."""
+    most = BROADCAST_BYTES // row_bytes
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 # ------------------------------------------------------------------ columns
 
 
@@ -154,10 +207,19 @@ def slices(batches, rows: int = 1000):
 _kept: dict[tuple, object] = {}
 
 
+def _give_back() -> None:
+    """What was freed goes back to the system, where the C library can do that: a worker's next task shares its machine."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def only_kept(key: tuple, make=None):
     """What a worker keeps from task to task: one thing at a time, as workers go from one operator to the next."""
     if key not in _kept:
         _kept.clear()
+        _give_back()
         if make:
             _kept[key] = make()
     return _kept.get(key)

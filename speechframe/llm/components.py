@@ -14,6 +14,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     Each round writes its edges to the shared folder, so a lost executor costs one round at most. Rounds grow with
     the logarithm of a component's size; `rounds` is only a guard, and running out of it raises an error.
     """
+    with C.scratch(edges.sparkSession):
+        return C.cut(_settled(edges, rounds), "roots", lasting=True)
+
+
+def _settled(edges: DataFrame, rounds: int) -> DataFrame:
     edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
     edges = C.cut(edges, "edges")
     before = None

@@ -15,13 +15,6 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Rows up to which a table of 16-byte entries is broadcast (32 MB); larger ones are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
 
 def _hashed(df: DataFrame, text_col: str, k: int, *kept: Column) -> DataFrame:
     """kept and w, the hashes of the words, for texts of k words or more; they are split and hashed once per text."""
@@ -52,13 +45,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     items = C.cut(of_item.withColumn("item_shingles", F.count("shingle").over(Window.partitionBy("item_id"))), "items")
     entries = C.cut(sketches(items, threshold), "item-sketches")
     of_doc = _hashed(docs, text_col, k, F.col(id_col).alias("doc_id")).select("doc_id", F.explode(_grams(k)).alias("shingle"))
-    found = C.cut(of_doc.join(_small(entries), "shingle").select("doc_id", "item_id").distinct(), "candidates")
+    found = C.cut(of_doc.join(C.small(entries), "shingle").select("doc_id", "item_id").distinct(), "candidates")
     # The rows of candidates only, with all their shingles once, against all shingles of their candidates' items.
     wanted = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id")).alias("items")).withColumnRenamed("doc_id", "found")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(_small(wanted), F.col("doc_id").eqNullSafe(F.col("found")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(C.small(wanted, 64), F.col("doc_id").eqNullSafe(F.col("found")))
     rows = _hashed(rows, "text", k, F.col("doc_id"), F.col("items")).select("doc_id", "items", F.explode(F.array(_grams(k))).alias("grams"))
     whole = items.groupBy(F.col("item_id").alias("item"), "item_shingles").agg(F.collect_list("shingle").alias("shingles"))
-    whole = F.broadcast(whole) if items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else whole
+    whole = F.broadcast(whole) if items.limit(C.BROADCAST_BYTES // 16 + 1).count() <= C.BROADCAST_BYTES // 16 else whole
     pairs = rows.select("doc_id", "grams", F.inline("items")).join(whole, F.col("item_id").eqNullSafe(F.col("item")))
     shared = pairs.select("doc_id", "item_id", "item_shingles", F.explode(F.array_intersect("grams", "shingles")).alias("shingle")).distinct()
     counted = shared.groupBy("doc_id", "item_id", "item_shingles").agg(F.count("shingle").alias("shared_shingles"))
@@ -74,8 +67,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     wide, column = C.by_position(docs)
     own = C.keyed_columns(column[id_col], column[text_col])
     wide = wide.withColumn("row", F.struct(own["d"].alias("d"), F.xxhash64(own["text"]).alias("h")))
-    found = contaminated(wide, benchmark, id_col="row", text_col=column[text_col], **options).select(F.col("doc_id").alias("row")).distinct()
-    return wide.join(found, "row", "left_anti").drop("row").toDF(*docs.columns)
+    with C.scratch(docs.sparkSession):
+        found = contaminated(wide, benchmark, id_col="row", text_col=column[text_col], **options)
+        found = C.cut(found.select(F.col("doc_id").alias("row")).distinct(), "contaminated", lasting=True)
+    return wide.join(C.small(found, 64), "row", "left_anti").drop("row").toDF(*docs.columns)
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -120,7 +120,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bucket_bytes = max(bucket_bytes, total >> 16)
     depth = min(MAX_DEPTH, max(1, (8 * total // bucket_bytes).bit_length()))
     at = F.shiftright(prefix, MAX_DEPTH - depth)
-    counts = {r[0]: r[1] for r in sizes.groupBy(at.alias("p")).agg(F.sum("b")).toLocalIterator()}
+    counts = dict(zip(*sizes.groupBy(at.alias("p")).agg(F.sum("b").alias("b")).toArrow().to_pydict().values(), strict=True))
     buckets = directory(counts, depth, bucket_bytes)
 
     spark = docs.sparkSession
@@ -151,14 +151,18 @@ def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of rows that repeat the largest id and the text, in either case of A-Z (null is the empty text), one comes out.
     An empty table stays empty.
     """
-    found = C.cut(exact_groups(docs, id_col, text_col), "groups")
-    stays = found.where("kept").select("d", F.col("text_sha256").alias("sha"))
+    with C.scratch(docs.sparkSession):
+        groups = exact_groups(docs, id_col, text_col).select("d", F.unhex("text_sha256").alias("sha"), "kept", (F.col("d") == F.col("keep")).alias("same_id"))
+        found = C.cut(groups, "groups", lasting=True)
+    C.release(docs.sparkSession)
     wide, column = C.by_position(docs)
     own = C.keyed_columns(column[id_col], column[text_col])
     lower = F.translate(own["text"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    out = wide.withColumns({"d": own["d"], "sha": F.sha2(lower.cast("binary"), 256)}).join(stays, ["d", "sha"], "left_semi")
-    if found.where("d = keep and not kept").limit(1).count():
-        out = out.dropDuplicates(["d", "sha"])
+    wide = wide.withColumns({"d": own["d"], "sha": F.unhex(F.sha2(lower.cast("binary"), 256))})
+    if found.where("same_id and not kept").limit(1).count():
+        out = wide.join(found.where("kept").select("d", "sha"), ["d", "sha"], "left_semi").dropDuplicates(["d", "sha"])
+    else:
+        out = wide.join(C.small(found.where("not kept").select("d", "sha"), 100), ["d", "sha"], "left_anti")
     return out.drop("d", "sha").toDF(*docs.columns)
 
 

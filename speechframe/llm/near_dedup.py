@@ -210,8 +210,8 @@ def _verify(similarity: float):
 
     def verify(batches):
         C.only_kept(())
-        for batch in batches:
-            known: list = [None] * 4
+        known: list = [None] * 4
+        for batch in C.slices(batches, 250):
             good = []
             for u, v, a, b in zip(*(batch[x].to_pylist() for x in ("u", "v", "left", "right")), strict=True):
                 if known[0] != u:
@@ -301,7 +301,7 @@ def _with_roots(held: DataFrame, roots: DataFrame) -> DataFrame:
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """(same, root) once links, of any nodes, join the classes of roots."""
     ends = links.join(roots.toDF("u", "ru"), "u", "left").join(roots.toDF("v", "rv"), "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
-    tops = C.cut(G.components(ends).toDF("root", "top"), "tops")
+    tops = G.components(ends).toDF("root", "top")
     new = tops.select(F.col("root").alias("same"), F.col("top").alias("root")).join(roots, "same", "left_anti")
     return C.cut(roots.join(tops, "root", "left").select("same", F.coalesce("top", "root").alias("root")).unionByName(new), "roots")
 
@@ -336,13 +336,14 @@ def _families(unsettled: DataFrame) -> DataFrame:
     """
     per = unsettled.groupBy("same").agg(F.count("*").alias("buckets"), F.sum("size").alias("each"))
     edges = unsettled.join(per.where(F.col("buckets") >= DENSE), "same", "left_semi").select(F.col("leader.same").alias("u"), F.col("same").alias("v")).distinct()
-    family = C.cut(G.components(edges).toDF("same", "unit"), "families")
+    family = G.components(edges).toDF("same", "unit")
     whole = family.join(per, "same").groupBy("unit").agg(F.count("*").alias("n"), F.sum("each").alias("each")).where(F.col("n") * F.col("n") <= F.col("each"))
     return family.join(whole, "unit", "left_semi").select("same", "unit")
 
 
 def _in_blocks(held: DataFrame, texts: DataFrame, similarity: float) -> DataFrame | None:
-    """Links between nodes of a bucket (bucket, same, n, root, unit) that differ in class and unit. None where there are no such nodes.
+    """Links between nodes of a bucket (bucket, same, n, root, unit, family) that differ in class and unit. None where there are no such nodes.
+    family: the bucket is a family, whose members are units of their own in it.
 
     Nodes outside a bucket's largest class or unit, in rows of blocks, meet all of its nodes, in columns of blocks.
     """
@@ -352,8 +353,8 @@ def _in_blocks(held: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     if placed.isEmpty():
         return None
     words = texts.join(placed.select("same").distinct(), "same", "left_semi").mapInArrow(_word_rows, "same long, words binary")
-    mine = placed.groupBy("same").agg(F.collect_list("bucket").alias("mine"))  # two buckets a sketch, or key of a short text, at most
-    placed = placed.join(words.join(mine, "same"), "same").withColumn("outside", F.col("kind") != F.col("main"))
+    mine = placed.groupBy("same").agg(F.collect_list(F.when(~F.col("family"), F.col("bucket"))).alias("mine"))  # two a sketch, or key of a short text, at most
+    placed = placed.join(words.join(mine, "same"), "same").withColumn("mine", F.when(F.col("family"), F.array("bucket")).otherwise(F.col("mine"))).withColumn("outside", F.col("kind") != F.col("main"))
     place = lambda k, blocks: F.pmod(F.xxhash64("same", F.lit(k)), blocks).cast("int")
     every = lambda blocks: F.sequence(F.lit(0), F.col(blocks) - 1)
     at = lambda i, j, row, column: F.struct(i.alias("i"), j.alias("j"), F.lit(row).alias("row"), F.lit(column).alias("column"))
@@ -379,12 +380,15 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 64, p
     spark = docs.sparkSession
     C.ship(spark)
     rows = C.keyed(docs, id_col, text_col)
-    table = C.cut(rows.mapInArrow(_sketcher(sketches, picks, k, similarity), _SKETCH_DDL), "sketches")
-    # One node for texts of equal words: the smallest id, with its checksum; other copies are members only.
-    nodes = table.groupBy("same").agg(F.min(F.struct("d", "v", "n", "sketches")).alias("x"), F.count("*").alias("rows")).select("same", "x.*", "rows")
-    nodes = C.cut(nodes, "nodes")
-    keys = nodes.where("n > 0").select("same", "n", F.explode("sketches").alias("bucket"))
-    keys = C.cut(keys.join(keys.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"), "buckets")
+    with C.scratch(spark):  # sketches are the largest table, and go once they are dealt out
+        table = C.cut(rows.mapInArrow(_sketcher(sketches, picks, k, similarity), _SKETCH_DDL), "sketches")
+        members = C.cut(table.select("d", "v", "same"), "members", lasting=True)
+        # One node for texts of equal words: the smallest id, with its checksum; other copies are members only.
+        whole = C.cut(table.groupBy("same").agg(F.min(F.struct("d", "v", "n", "sketches")).alias("x"), F.count("*").alias("rows")).select("same", "x.*", "rows"), "whole")
+        nodes = C.cut(whole.drop("sketches"), "nodes", lasting=True)
+        keys = whole.where("n > 0").select("same", "n", F.explode("sketches").alias("bucket"))
+        keys = C.cut(keys.join(keys.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"), "buckets", lasting=True)
+    C.release(spark)
     # Texts of like length share one of two neighbouring classes of length, by which large buckets are parted.
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(-float(np.log(similarity))) + F.lit(1e-9))
     parted = keys.where(F.col("size") > PAIRED).select("same", "n", F.explode(F.array(F.xxhash64("bucket", step), F.xxhash64("bucket", step + 1))).alias("bucket"))
@@ -394,34 +398,32 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 64, p
     small = keys.where(F.col("size") <= PAIRED).withColumn("leader", F.lit(None).cast(parted.schema["leader"].dataType))
     pairs = C.cut(_candidates(small.unionByName(parted), similarity), "pairs")
     wanted = pairs.select(F.explode(F.array("u", "w")).alias("same")).unionByName(large.select("same")).distinct()
-    texts = nodes.join(wanted, "same", "left_semi").select("same", "d", "v").join(rows, ["d", "v"]).dropDuplicates(["same"]).select("same", "text")
-    texts = C.cut(texts, "texts")
+    wanted = C.cut(nodes.join(wanted, "same", "left_semi").select("same", "d", "v"), "wanted")
+    texts = C.cut(rows.join(C.small(wanted, 24), ["d", "v"]).dropDuplicates(["same"]).select("same", "text"), "texts")
+    C.release(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
         sided = pairs.join(texts.toDF("u", "left"), "u").join(texts.toDF("w", "right"), "w").select("u", F.col("w").alias("v"), "left", "right")
         return C.cut(sided.mapInArrow(_verify(similarity), "u long, v long"), "links")
 
     links = verified(pairs)
-    roots = C.cut(G.components(links).toDF("same", "root"), "roots")
+    roots = G.components(links).toDF("same", "root")
     held = _with_roots(large.select("bucket", "same", "n", "size", "leader"), roots)
     open_ = C.cut(held.join(held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high"), "bucket", "left_semi"), "open")
     if not open_.isEmpty():
         some = C.cut(texts.join(open_.select("same").distinct(), "same", "left_semi"), "some")
         units = C.cut(_families(open_), "units")
-        for families in (True, False):
-            if families:
-                held = open_.select("same", "n").distinct().join(units, "same").select(F.col("unit").alias("bucket"), "same", "n", F.col("same").alias("unit"))
-            else:
-                held = open_.select("bucket", "same", "n").join(units, "same", "left").withColumn("unit", F.coalesce("unit", "same"))
-            more = _in_blocks(_with_roots(held, roots), some, similarity)
-            # Blocks hold 32 bits of each word's hash; what they find is looked at once more.
-            if more is not None and not (more := verified(more.toDF("u", "w"))).isEmpty():
-                links, roots = links.unionByName(more), _joined(roots, more)
+        families = open_.select("same", "n").distinct().join(units, "same").select(F.col("unit").alias("bucket"), "same", "n", F.col("same").alias("unit"), F.lit(True).alias("family"))
+        buckets = open_.select("bucket", "same", "n").join(units, "same", "left").select("bucket", "same", "n", F.coalesce("unit", "same").alias("unit"), F.lit(False).alias("family"))
+        more = _in_blocks(_with_roots(families.unionByName(buckets), roots), some, similarity)
+        # Blocks hold 32 bits of each word's hash; what they find is looked at once more.
+        if more is not None and not (more := verified(more.toDF("u", "w"))).isEmpty():
+            links, roots = links.unionByName(more), _joined(roots, more)
     degree = links.select(F.explode(F.array("u", "v")).alias("same")).groupBy("same").agg(F.count("*").alias("links"))
     labelled = _with_roots(nodes.select("same", "d", "v", "rows"), roots)
     classes = labelled.groupBy("root").agg(F.min(F.struct("d", "v")).alias("first"), F.sum("rows").alias("class_size"))
     labelled = labelled.select("same", "root").join(classes, "root").join(degree, "same", "left").select("same", F.col("first.d").alias("class_id"), F.col("first.v").alias("class_v"), "class_size", F.coalesce("links", F.lit(0)).alias("links"))
-    return table.select("d", "v", "same").join(labelled, "same").select("d", "v", "class_id", "class_size", "links", "class_v")
+    return members.join(labelled, "same").select("d", "v", "class_id", "class_size", "links", "class_v")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -430,13 +432,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Of rows that repeat that id and text (null is the empty text) one stays; of different texts under that id in one
     class, the smallest checksum's. An empty table stays empty.
     """
-    found = C.cut(near_classes(docs, id_col=id_col, text_col=text_col, **options), "classes")
-    stays = found.where("d = class_id and v = class_v").groupBy("d", "v").agg(F.count("*").alias("n"))
+    with C.scratch(docs.sparkSession):
+        classes = near_classes(docs, id_col=id_col, text_col=text_col, **options)
+        found = C.cut(classes.select("d", "v", (F.col("d").eqNullSafe(F.col("class_id")) & (F.col("v") == F.col("class_v"))).alias("first")), "classes", lasting=True)
+    C.release(docs.sparkSession)
     wide, column = C.by_position(docs)
     own = C.keyed_columns(column[id_col], column[text_col])
-    out = wide.withColumns({"d": own["d"], "v": own["v"]}).join(stays, ["d", "v"], "left_semi")
-    if stays.where("n > 1").limit(1).count():
-        out = out.dropDuplicates(["d", "v"])
+    wide = wide.withColumns({"d": own["d"], "v": own["v"]})
+    if found.where("first").groupBy("d", "v").count().where("count > 1").limit(1).count():
+        out = wide.join(found.where("first").select("d", "v"), ["d", "v"], "left_semi").dropDuplicates(["d", "v"])
+    else:
+        out = wide.join(C.small(found.where("not first").select("d", "v")), ["d", "v"], "left_anti")
     return out.drop("d", "v").toDF(*docs.columns)
 
 

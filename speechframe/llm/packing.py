@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Strings whose ids a Python worker keeps at most; what one call needs comes on top.
-_CACHE_STRINGS = 550_000
+#: Bytes of strings and their ids that a Python worker keeps at most, with _ENTRY_BYTES for what Python adds to each; what
+#: one call needs comes on top.
+_CACHE_BYTES, _ENTRY_BYTES = 200_000_000, 600
 #: As in the tokenizer's own split; special strings are cut out before.
 _WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
@@ -51,6 +52,7 @@ class WordTokenizer:
         self.ends_word[[i for token, i in ids.items() if mark and token.endswith(mark)]] = True
         self.words: dict[str, bytes] = {}
         self.strings: dict[str, bytes] = {}
+        self.held = 0
 
     def split(self, text: str) -> list[str]:
         """The normalised text's strings between spaces."""
@@ -96,10 +98,12 @@ class WordTokenizer:
         gaps = [(k, [i for i, x in enumerate(f) if x is None]) for k, f in enumerate(found) if None in f]
         if gaps:
             new = {split[k][i] for k, at in gaps for i in at}
-            if len(known) + len(new) > _CACHE_STRINGS:
+            if self.held > _CACHE_BYTES:
                 known.clear()
                 self.words.clear()
+                self.held = 0
             self.learn(new)
+            self.held += sum(_ENTRY_BYTES + 4 * len(x) + 2 * len(known[x]) for x in new)
             for k, at in gaps:
                 f, s = found[k], split[k]
                 for i in at:
@@ -189,8 +193,23 @@ def _packer(limit: int, block: int):
     return pack
 
 
+def _place(batches):
+    """A row per piece, with its place in its bin: the lengths of the pieces before."""
+    for batch in batches:
+        pieces, n = batch["pieces"], batch["pieces"].value_lengths().to_numpy()
+        flat = pieces.flatten()
+        length = flat.field("length").cast(pa.int64())
+        before = np.r_[0, np.cumsum(length.to_numpy())]
+        offset = before[:-1] - np.repeat(before[np.cumsum(n) - n], n)
+        columns = [flat.field(c) for c in ("d", "v", "piece", "start")] + [length, flat.field("crc"), pa.array(np.repeat(batch["sequence_id"].to_numpy(), n)), pa.array(offset)]
+        yield pa.record_batch(columns, names=["d", "v", "piece", "start", "length", "crc", "sequence_id", "offset"])
+
+
 def tokenised(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per piece: d, v, piece, start, length, crc. Documents over `limit` ids are cut, others are one piece."""
+    """A row per piece: d, v, piece, start, length, crc. Documents over `limit` ids are cut, others are one piece.
+
+    A null or empty text is the end id alone. Rows that repeat, or have no id, give pieces each. No rows: no pieces.
+    """
     C.ship(docs.sparkSession)
     return C.keyed(docs, id_col, text_col).mapInArrow(_cutter(tokenizer, limit, end_id), _PIECE_DDL)
 
@@ -227,13 +246,7 @@ def pack(pieces: DataFrame, limit: int = 2048, full: float = 0.995, block: int =
     for x in done[1:]:
         out = out.unionByName(x)
     out = out.withColumn("sequence_id", F.monotonically_increasing_id())
-    # Offsets: lengths of the pieces before, summed over an array that holds `limit` pieces at most.
-    placed = F.expr(
-        """aggregate(pieces, named_struct('at', 0L, 'out', cast(array() as array<struct<p:struct<d:long,v:long,piece:int,start:long,length:int,crc:long>,at:long>>)),
-             (s, p) -> named_struct('at', s.at + p.length, 'out', array_append(s.out, named_struct('p', p, 'at', s.at))), s -> s.out)"""
-    )
-    out = out.select("sequence_id", F.explode(placed).alias("x"))
-    return out.select("x.p.d", "x.p.v", "x.p.piece", "x.p.start", F.col("x.p.length").cast("long").alias("length"), F.col("x.p.crc").alias("crc"), "sequence_id", F.col("x.at").alias("offset"))
+    return out.select("sequence_id", "pieces").mapInArrow(_place, "d long, v long, piece int, start long, length long, crc long, sequence_id long, offset long")
 
 
 def default_tokenizer() -> str:

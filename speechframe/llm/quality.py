@@ -80,19 +80,22 @@ class Logistic:
     def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12) -> Logistic:
         mean, spread = x.mean(0, dtype=float), x.std(0, dtype=float)
         scale = np.where(spread > 1e-6, 1 / np.maximum(spread, 1e-6), 0)
-        z = np.c_[(x - mean) * scale, np.ones(len(x))]
-        w, penalty = np.zeros(z.shape[1]), np.r_[np.full(z.shape[1] - 1, ridge), 1e-6]
+        w, penalty = np.zeros(x.shape[1] + 1), np.r_[np.full(x.shape[1], ridge), 1e-6]
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-(z @ w).clip(-30, 30)))
-            gradient = z.T @ (y - p) - penalty * w
-            change = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(penalty), gradient)
+            gradient, curve = -penalty * w, np.diag(penalty)
+            for at in range(0, len(x), 2000):  # rows are widened to doubles some at a time, as the driver's memory is small
+                z = np.c_[(x[at : at + 2000] - mean) * scale, np.ones(len(x[at : at + 2000]))]
+                p = 1 / (1 + np.exp(-(z @ w).clip(-30, 30)))
+                gradient += z.T @ (y[at : at + 2000] - p)
+                curve += (z * (p * (1 - p) + 1e-6)[:, None]).T @ z
+            change = np.linalg.solve(curve, gradient)
             w = w + change.clip(-4, 4)
             if np.abs(change).max() < 1e-4:
                 break
         return cls(mean, w[:-1] * scale, float(w[-1]))
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) @ self.weights + self.bias).clip(-30, 30)
+        return (x @ self.weights + (self.bias - self.mean @ self.weights)).clip(-30, 30)
 
 
 def _sigmoid(x):
@@ -161,6 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
     Labels that are null, or of ids that no document has, don't count. None where no label, or one class, is left.
     """
+    C.release(docs.sparkSession)
     chance = F.pmod(F.xxhash64("d"), F.lit(1_000_000))
     pool_chance = F.pmod(F.xxhash64("d", "text"), F.lit(1_000_000))
     labels = labels.select(F.coalesce(F.col(id_col).cast("long"), F.lit(C.NO_ID)).alias("d"), (F.col(label_col) >= 0.5).cast("double").alias("y")).where("y is not null")
@@ -184,6 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         return None
     y = np.array([np.nan if v is None else v for v in got["y"].to_pylist()])
     text, meta = (np.frombuffer(b"".join(got[c].to_pylist()), np.float32).reshape(len(got), -1) for c in ("text", "meta"))
+    del got
     known = ~np.isnan(y)
     return co_train(text[known], meta[known], y[known], text[~known], meta[~known], rounds) if known.any() else None
 
@@ -192,7 +197,7 @@ def score(docs: DataFrame, model: CoTrained | None, cutoff: float = 0.5, id_col:
     """d, score, text_score, meta_score, accepted for every row; with keep, the accepted rows of docs instead.
 
     A null text is empty and null metadata are a value of their own. Without a model every row scores 1. Rows that
-    repeat get the same score; columns missing from docs count as null.
+    repeat get the same score; columns missing from docs count as null. An empty table gives an empty one.
     """
     C.ship(docs.sparkSession)
 

@@ -161,7 +161,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, overhead: int = 8, id_col:
         "sizes",
     )
 
-    found = lambda grouped: [(r["first"], r["last"], r["size"]) for r in grouped.agg(F.min("h").alias("first"), F.max("h").alias("last"), F.sum("size").alias("size")).toLocalIterator()]
+    def found(grouped) -> list[tuple[int, int, int]]:
+        cells = grouped.agg(F.min("h").alias("first"), F.max("h").alias("last"), F.sum("size").alias("size")).toArrow()
+        return list(zip(*(cells[c].to_pylist() for c in ("first", "last", "size")), strict=True))
 
     def zoom(open_):
         """The cells within ranges of hashes, each of which lies in one block: up to 2**_ZOOM_BITS for each."""

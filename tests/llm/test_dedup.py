@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import duckdb
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -188,7 +189,8 @@ def test_a_large_group_stays_one(spark):
     assert sum(r["links"] for r in got) < 400 * 60  # no group's pairs
 
 
-def test_a_large_bucket_loses_no_link(spark):
+@pytest.mark.parametrize("dense", [1, 16, 10**6])
+def test_a_large_bucket_loses_no_link(spark, monkeypatch, dense):
     """Texts that share one passage, and so their sketches, but are similar only in a few pairs far apart by length."""
     rng = random.Random(7)
     head = [f"h{i}" for i in range(40)]
@@ -201,12 +203,10 @@ def test_a_large_bucket_loses_no_link(spark):
         texts.append(w)
     rng.shuffle(texts)
     rows = [(i, " ".join(w), *[None] * 9) for i, w in enumerate(texts)]
-    block, paired = near_dedup.BLOCK, near_dedup.PAIRED
-    try:
-        near_dedup.BLOCK, near_dedup.PAIRED = 10, 3
-        got = near_dedup.near_classes(cases.documents(spark, rows)).collect()
-    finally:
-        near_dedup.BLOCK, near_dedup.PAIRED = block, paired
+    monkeypatch.setattr(near_dedup, "BLOCK", 10)
+    monkeypatch.setattr(near_dedup, "PAIRED", 3)
+    monkeypatch.setattr(near_dedup, "DENSE", dense)
+    got = near_dedup.near_classes(cases.documents(spark, rows)).collect()
     assert sum(r["links"] for r in got) < 2 * 8 * len(rows)
     assert Counter((r["d"], r["class_id"], r["class_size"]) for r in got) == near_classes_plainly(rows)
 
@@ -264,12 +264,12 @@ def test_decontamination(spark):
     assert got[3, 3]["shared_shingles"] == 49 and got[3, 3]["item_shingles"] == 56
     for d, b in ((cases.documents(spark, []), bench), (docs, bench.limit(0))):
         assert decontamination.contaminated(d, b).count() == 0
-    shuffled = decontamination.BROADCAST_ROWS
+    shuffled = C.BROADCAST_BYTES
     try:
-        decontamination.BROADCAST_ROWS = 1
+        C.BROADCAST_BYTES = 16
         assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).collect()} == set(got)
     finally:
-        decontamination.BROADCAST_ROWS = shuffled
+        C.BROADCAST_BYTES = shuffled
 
 
 def test_decontamination_finds_by_sketches_only(spark, monkeypatch):
