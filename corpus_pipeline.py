@@ -56,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with common.scratch(spark):
+            docs = common.cut(stage(spark, docs, sf_dir), name.replace(" ", "-"), lasting=True)
     return STAGES[-1][1](spark, docs, sf_dir)
