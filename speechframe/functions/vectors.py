@@ -23,8 +23,9 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalized(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > F32_EPSILON, F.transform(_doubles(a), lambda x: x / n)).otherwise(_doubles(a))
+    # The norm stands in an array of its own, so that it is computed once and not for each element.
+    scaled = lambda n: F.when(n > F32_EPSILON, F.transform(_doubles(a), lambda x: x / n)).otherwise(_doubles(a))
+    return F.transform(F.array(norm(a)), scaled)[0]
 
 
 def cosine_distance(a: Column, b: Column, na: Column | None = None, nb: Column | None = None) -> Column:

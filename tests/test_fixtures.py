@@ -309,11 +309,11 @@ def test_streaming(spark, tmp_path):
     q.stop()
     folder = str(tmp_path / "scores")
     schema = "rec string, speaker int, frame long, score double"
-    spark.createDataFrame([("a", 0, 0, 0.9), ("a", 0, 1, 0.5)], schema).write.mode("append").parquet(folder)
+    spark.createDataFrame([("a", 0, 0, 0.9), ("a", 0, 1, 0.5)], schema).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(schema).parquet(folder)
     q = live.live_hysteresis(stream).writeStream.format("memory").queryName("live").outputMode("append").start()
     q.processAllAvailable()
-    spark.createDataFrame([("a", 0, 2, 0.5), ("a", 0, 1, 0.1), ("a", 0, 3, 0.4)], schema).write.mode("append").parquet(folder)
+    spark.createDataFrame([("a", 0, 2, 0.5), ("a", 0, 1, 0.1), ("a", 0, 3, 0.4)], schema).coalesce(1).write.mode("append").parquet(folder)
     q.processAllAvailable()
     got = {r["frame"]: r["active"] for r in spark.table("live").collect()}
     assert got == {0: True, 1: True, 2: True, 3: False}
