@@ -21,7 +21,7 @@ from . import common as C
 
 #: Bytes of strings and their ids that a Python worker keeps at most, with _ENTRY_BYTES for what Python adds to each; what
 #: one call needs comes on top.
-_CACHE_BYTES, _ENTRY_BYTES = 200_000_000, 600
+_CACHE_BYTES, _ENTRY_BYTES = 350_000_000, 600
 #: As in the tokenizer's own split; special strings are cut out before.
 _WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
