@@ -207,8 +207,9 @@ def slices(batches, rows: int = 1000):
 _kept: dict[tuple, object] = {}
 
 
-def _give_back() -> None:
-    """What was freed goes back to the system, where the C library can do that: a worker's next task shares its machine."""
+def give_back() -> None:
+    """What was freed goes back to the system, where the C library can do that: a worker's next task shares its
+    machine, as do the driver's next steps."""
     gc.collect()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
@@ -219,7 +220,7 @@ def only_kept(key: tuple, make=None):
     """What a worker keeps from task to task: one thing at a time, as workers go from one operator to the next."""
     if key not in _kept:
         _kept.clear()
-        _give_back()
+        give_back()
         if make:
             _kept[key] = make()
     return _kept.get(key)

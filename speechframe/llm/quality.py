@@ -190,7 +190,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     text, meta = (np.frombuffer(b"".join(got[c].to_pylist()), np.float32).reshape(len(got), -1) for c in ("text", "meta"))
     del got
     known = ~np.isnan(y)
-    return co_train(text[known], meta[known], y[known], text[~known], meta[~known], rounds) if known.any() else None
+    model = co_train(text[known], meta[known], y[known], text[~known], meta[~known], rounds) if known.any() else None
+    del text, meta
+    C.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained | None, cutoff: float = 0.5, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
