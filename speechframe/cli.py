@@ -8,6 +8,12 @@ import sys
 from .options import FORMATS, TASKS, TIMESTAMPS, PipelineOptions
 
 
+def success_message(path: str, diarized: bool) -> str:
+    # The wording that scripts around the command line look for.
+    done = "transcribed & speaker segmented" if diarized else "transcribed"
+    return f"Voila!✨ Your file has been {done} go check it out over here 👉 {path}"
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("speechframe")
     sub = p.add_subparsers(dest="command", required=True)
@@ -26,6 +32,8 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--batch-size", type=int, default=24)
     t.add_argument("--timestamp", choices=TIMESTAMPS, default="chunk")
     t.add_argument("--token", default="no_token")
+    t.add_argument("--flash", choices=("True", "False"), default="False")
+    t.add_argument("--diarization_model", default="")
     for x in ("num", "min", "max"):
         t.add_argument(f"--{x}-speakers", type=int)
     return p
@@ -42,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
             convert_file(args.input_file, args.output_format, args.output_dir, args.verbose)
             return 0
         try:
-            options = PipelineOptions(**{k: v for k, v in vars(args).items() if k != "command"})
+            options = PipelineOptions(**{k: v for k, v in vars(args).items() if k != "command"} | {"flash": args.flash == "True"})
         except ValueError as e:
             p.error(str(e))
         from pyspark.sql import SparkSession
@@ -51,6 +59,7 @@ def main(argv: list[str] | None = None) -> int:
         from .plans.pipelines import transcribe_files
 
         transcribe_files(SparkSession.builder.getOrCreate(), options, TestBackend())
+        print(success_message(options.transcript_path, options.diarize))
         return 0
     except Exception as e:  # noqa: BLE001
         print(f"error: {e}", file=sys.stderr)

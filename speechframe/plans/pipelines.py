@@ -21,7 +21,9 @@ def transcribe(samples: DataFrame, backend: B.Backend, options: PipelineOptions,
 
 
 def diarize(samples: DataFrame, backend: B.Backend, options: PipelineOptions, sliding: windows.SlidingConfig | None = None, lda=None) -> DataFrame:
-    """(rec, start, end, speaker): collapsed turns in seconds."""
+    """(rec, start, end, speaker): collapsed turns in seconds. A recording without samples is an error when the rows are made."""
+    empty = F.raise_error(F.concat(F.lit("no audio to segment in "), F.col("rec").cast("string")))
+    samples = samples.withColumn("samples", F.when(F.size("samples") > 0, F.col("samples")).otherwise(empty.cast(samples.schema["samples"].dataType)))
     s = sliding or windows.SlidingConfig()
     cut = windows.window_slices(samples, s.window, s.step)
     scores = windows.hysteresis(B.segment_windows(cut, backend))

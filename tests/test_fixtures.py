@@ -246,6 +246,11 @@ def test_audio_and_pipelines(spark, tmp_path):
     turns = pipelines.diarize(samples, B.TestBackend(), options, windows.SlidingConfig(16_000, 0.5, 0.25))
     labelled = pipelines.speaker_segments(turns, segments)
     assert segments.count() == 6 and turns.count() > 0 and 0 < labelled.count() <= 6
+    (tmp_path / "none").mkdir()
+    wav(16_000, 1, 0, tmp_path / "none" / "e.wav")
+    silent = audio.read_audio(spark, str(tmp_path / "none" / "*.wav")).select("rec", "samples")
+    with pytest.raises(Exception, match="no audio to segment"):
+        pipelines.diarize(silent, B.TestBackend(), options).collect()
     with pytest.raises(wave.Error):
         audio.decode_wav(b"RIFF....nonsense")
     assert len(audio.decode_wav(_bytes(16_000, 1, 0))[0]) == 0
@@ -269,12 +274,22 @@ def test_options_and_cli(tmp_path):
             PipelineOptions(**bad)
     assert PipelineOptions(model_name="x.en", task="translate").effective_task == "transcribe"
     assert PipelineOptions(model_name="x.en.y", task="translate").effective_task == "translate"
-    for argv in (["convert", "x.json", "-f", "doc"], ["transcribe", "--file-name", "x", "--num-speakers", "0"], ["transcribe", "--file-name", "x", "--task", "sing"]):
+    for argv in (["convert", "x.json", "-f", "doc"], ["transcribe", "--file-name", "x", "--num-speakers", "0"], ["transcribe", "--file-name", "x", "--task", "sing"], ["transcribe", "--file-name", "x", "--flash", "yes"]):
         with pytest.raises(SystemExit) as e:
             main(argv)
         assert e.value.code == 2
 
 
+def test_transcribe_command(spark, tmp_path, capsys):
+    from speechframe.cli import main, success_message
+
+    wav(16_000, 1, 1, tmp_path / "a.wav")
+    out = str(tmp_path / "out" / "t.json")
+    assert main(["transcribe", "--file-name", str(tmp_path / "a.wav"), "--transcript-path", out, "--flash", "True", "--diarization_model", "m"]) == 0
+    assert capsys.readouterr().out.strip() == success_message(out, False)
+    assert "speaker segmented" in success_message(out, True) and "speaker" not in success_message(out, False)
+
+
 def test_missing_file(spark, tmp_path):
     from speechframe.cli import main
 
