@@ -3,6 +3,10 @@
 Each view has a logistic model. Over some rounds each labels the documents of an unlabelled pool that it is most sure
 of, for the other's training set. Then both are calibrated on labelled rows held out from training, combined on the
 same rows, and every document is scored. Fitting uses bounded samples; scoring covers all rows in one pass, no shuffle.
+
+This is done for two labels, quality and toxicity, as toxic documents are mostly of good quality otherwise. A document is
+accepted if its quality is good and it isn't toxic. For toxicity the text view also sees which beginnings of words
+that tell toxic labelled documents from others occur in a text.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from . import common as C
 
 _LANGS, _SOURCES = 16, 128
 _TEXT_WIDTH, _META_WIDTH = 256 + 8, _LANGS + _SOURCES + 4
+_LENGTHS = (4, 6, 8)  # bytes of a word's beginning
 
 
 def _repeated(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -55,6 +60,34 @@ def text_features(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def beginnings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the beginnings, 4, 6 and 8 bytes long, of all words in lower case (A-Z), and the index of each one's text."""
+    buf = np.frombuffer(b"\n".join(t.lower() for t in texts), np.uint8)
+    start, end = C.words_of(buf, C.PUNCT)
+    sums = C.prefix_sums(buf)
+    owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
+    long = [end - start >= k for k in _LENGTHS]
+    hashes = [C.range_hash(sums, start[ok], start[ok] + k) for k, ok in zip(_LENGTHS, long, strict=True)]
+    return np.concatenate(hashes), np.concatenate([owner[ok] for ok in long])
+
+
+def telling_features(texts: list[bytes], telling: np.ndarray) -> np.ndarray:
+    """1 where a text holds a word with that beginning, one column for each hash of `telling`, which is sorted."""
+    out = np.zeros((len(texts), len(telling)), np.uint8)
+    if not len(telling):
+        return out
+    low = np.zeros(1 << 16, bool)
+    low[telling & np.uint64(0xFFFF)] = True
+    for a, b in C.groups_of(texts):
+        h, owner = beginnings(texts[a:b])
+        likely = low[h & np.uint64(0xFFFF)]
+        h, owner = h[likely], owner[likely]
+        at = np.searchsorted(telling, h).clip(max=len(telling) - 1)
+        hit = telling[at] == h
+        out[a + owner[hit], at[hit]] = 1
+    return out
+
+
 def meta_features(lang: list, source: list, n_chars: list) -> np.ndarray:
     """Buckets of language and source, the length as the page states it; nulls have features of their own."""
     import xxhash
@@ -111,16 +144,37 @@ class CoTrained:
     combine: Logistic
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Calibrated probabilities of good quality: combined, by text, by metadata."""
+        """Calibrated probabilities of label 1: combined, by text, by metadata."""
         a = self.calibrate_text.logit(self.text.logit(text)[:, None])
         b = self.calibrate_meta.logit(self.meta.logit(meta)[:, None])
         return _sigmoid(self.combine.logit(np.c_[a, b])), _sigmoid(a), _sigmoid(b)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = 4, sure: float = 0.95, share: float = 0.05) -> CoTrained | None:
+@dataclass
+class Judge:
+    """Models of good quality and of toxicity, either None if its labels don't serve, and the beginnings that tell."""
+
+    good: CoTrained | None
+    toxic: CoTrained | None
+    telling: np.ndarray
+
+    def score(self, texts: list[bytes], meta: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Probabilities of good quality (combined, by text, by metadata) and of toxicity; 1 and 0 without a model."""
+        text, n = text_features(texts), len(texts)
+        good = self.good.score(text, meta) if self.good else (np.ones(n),) * 3
+        toxic = self.toxic.score(toxic_view(text, telling_features(texts, self.telling)), meta)[0] if self.toxic else np.zeros(n)
+        return *good, toxic
+
+
+def toxic_view(text: np.ndarray, told: np.ndarray) -> np.ndarray:
+    return np.c_[text[:, 256:], told.astype(np.float32)]
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = 4, sure: float = 0.95, share: float = 0.05, held: np.ndarray | None = None) -> CoTrained | None:
     """y: 0 or 1. In each round each view hands the other its surest pool documents, at most `share` of the pool and in
-    the classes' proportions. None where the labels hold one class only."""
-    held = np.arange(len(y)) % 4 == 3
+    the classes' proportions. Rows that are `held`, else every fourth, calibrate and don't train. None where the labels
+    hold one class only."""
+    held = np.arange(len(y)) % 4 == 3 if held is None else held
     for part in (held, ~held):
         if part.sum() < 2 or len(set(y[part].tolist())) < 2:
             held = np.zeros(len(y), bool)
@@ -158,66 +212,109 @@ def _view_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(C.NO_ID)).alias("d"), C.text_or_empty(text_col).alias("text"), column("lang", "string"), column("source", "string"), column("n_chars", "double"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 10_000, max_pool: int = 10_000, rounds: int = 4) -> CoTrained | None:
+def _telling(sample: DataFrame, most: int) -> np.ndarray:
+    """Hashes of the `most` beginnings of words that go most with toxic documents, by chi-squared, among the rows that train."""
+    known = sample.where("toxic is not null and not held")
+    n, bad = known.agg(F.count("toxic"), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
+    if not 0 < bad < n:
+        return np.zeros(0, np.uint64)
+
+    def counted(batches):
+        C.only_kept(())
+        for rows in C.slices(batches):
+            texts, toxic = rows["text"].cast(pa.binary()).to_pylist(), np.array(rows["toxic"].to_pylist())
+            for a, b in C.groups_of(texts):
+                h, owner = beginnings(texts[a:b])
+                order = np.lexsort((owner, h))
+                h, owner = h[order], owner[order]
+                new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])][: len(h)]
+                h, owner = h[new], owner[new]
+                found, place = np.unique(h, return_inverse=True)
+                yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(np.bincount(place, minlength=len(found))), pa.array(np.bincount(place, toxic[a:b][owner], minlength=len(found)))], names=["h", "n", "bad"])
+
+    of, with_it, both = F.lit(float(n)), F.col("n"), F.col("bad")
+    excess = both * of - with_it * F.lit(float(bad))
+    chi = excess * excess / (with_it * (of - with_it + 1))
+    counts = known.select("text", "toxic").mapInArrow(counted, "h long, n long, bad double").groupBy("h").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    top = counts.where((excess > 0) & (both >= 3)).orderBy(chi.desc(), "h").limit(most).select("h").collect()
+    return np.sort(np.array([r["h"] for r in top], np.int64).view(np.uint64))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", toxic_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 10_000, max_pool: int = 10_000, max_telling: int = 256, rounds: int = 4) -> Judge | None:
     """Fits on about `max_labelled` labelled rows, drawn by a hash of the id, and `max_pool` unlabelled ones, by a hash
     of id and text; twice as many together at most, where many rows repeat an id.
 
-    Labels that are null, or of ids that no document has, don't count. None where no label, or one class, is left.
+    Labels that are null, or of ids that no document has, don't count; a label column may be missing. Where labels of an
+    id differ, it is of bad quality, and toxic. A model is None where no label, or one class, is left, and so is the
+    result where both are.
     """
-    C.release(docs.sparkSession)
+    spark = docs.sparkSession
+    C.release(spark)
+    C.ship(spark)
     chance = F.pmod(F.xxhash64("d"), F.lit(1_000_000))
     pool_chance = F.pmod(F.xxhash64("d", "text"), F.lit(1_000_000))
-    labels = labels.select(F.coalesce(F.col(id_col).cast("long"), F.lit(C.NO_ID)).alias("d"), (F.col(label_col) >= 0.5).cast("double").alias("y")).where("y is not null")
-    labels = labels.groupBy("d").agg(F.min("y").alias("y"))
+    given = lambda c: (F.col(c) >= 0.5 if c in labels.columns else F.lit(None)).cast("double")
+    labels = labels.select(F.coalesce(F.col(id_col).cast("long"), F.lit(C.NO_ID)).alias("d"), given(label_col).alias("y"), given(toxic_col).alias("toxic")).where("y is not null or toxic is not null")
+    labels = labels.groupBy("d").agg(F.min("y").alias("y"), F.max("toxic").alias("toxic"), F.lit(True).alias("labelled"))
     few = lambda most, n: F.lit(int(1e6 * min(1.0, most / max(1, n))))
-    labels = labels.where(chance < few(max_labelled, labels.count()))  # about max_labelled rows of 16 bytes
+    labels = labels.where(chance < few(max_labelled, labels.count()))  # about max_labelled rows of 32 bytes
     views = _view_columns(docs, id_col, text_col).withColumn("chance", pool_chance)
-    sample = views.join(F.broadcast(labels), "d", "left").where(F.col("y").isNotNull() | (F.col("chance") < few(max_pool, docs.count())))
+    sample = views.join(F.broadcast(labels), "d", "left").where(F.col("labelled") | (F.col("chance") < few(max_pool, docs.count())))
+    sample = sample.withColumn("held", F.pmod(F.xxhash64("text", "d"), F.lit(4)) == 3).drop("chance", "labelled")
+    with C.scratch(spark):
+        sample = C.cut(sample, "quality-sample")
+        telling = _telling(sample, max_telling)
 
-    def features(batches):
-        C.only_kept(())
-        for b in C.slices(batches):
-            t = text_features(b["text"].cast(pa.binary()).to_pylist())
-            m = meta_features(b["lang"].to_pylist(), b["source"].to_pylist(), b["n_chars"].to_pylist())
-            pack = lambda z: pa.array([row.tobytes() for row in z], pa.binary())
-            yield pa.record_batch([b["d"], b["y"], pack(t), pack(m)], names=["d", "y", "text", "meta"])
+        def features(batches):
+            C.only_kept(())
+            for b in C.slices(batches):
+                texts = b["text"].cast(pa.binary()).to_pylist()
+                m = meta_features(b["lang"].to_pylist(), b["source"].to_pylist(), b["n_chars"].to_pylist())
+                pack = lambda z: pa.array([row.tobytes() for row in z], pa.binary())
+                yield pa.record_batch([b["d"], b["y"], b["toxic"], b["held"], pack(text_features(texts)), pack(telling_features(texts, telling)), pack(m)], names=["d", "y", "toxic", "held", "text", "told", "meta"])
 
-    got = sample.select("d", "y", "text", "lang", "source", "n_chars").mapInArrow(features, "d long, y double, text binary, meta binary")
-    got = got.orderBy(F.xxhash64("d", "text"), "d", "text", "meta").limit(2 * (max_labelled + max_pool)).toArrow()
+        got = sample.select("d", "y", "toxic", "held", "text", "lang", "source", "n_chars").mapInArrow(features, "d long, y double, toxic double, held boolean, text binary, told binary, meta binary")
+        got = got.orderBy(F.xxhash64("d", "text"), "d", "text", "meta").limit(2 * (max_labelled + max_pool)).toArrow()
     if not len(got):
         return None
-    y = np.array([np.nan if v is None else v for v in got["y"].to_pylist()])
-    text, meta = (np.frombuffer(b"".join(got[c].to_pylist()), np.float32).reshape(len(got), -1) for c in ("text", "meta"))
+    y, toxic = (np.array([np.nan if v is None else v for v in got[c].to_pylist()]) for c in ("y", "toxic"))
+    held = np.array(got["held"].to_pylist(), bool)
+    text, told, meta = (np.frombuffer(b"".join(got[c].to_pylist()), kind).reshape(len(got), -1) for c, kind in (("text", np.float32), ("told", np.uint8), ("meta", np.float32)))
     del got
-    known = ~np.isnan(y)
-    model = co_train(text[known], meta[known], y[known], text[~known], meta[~known], rounds) if known.any() else None
-    del text, meta
+    pool = np.isnan(y) & np.isnan(toxic)
+
+    def model(view: np.ndarray, label: np.ndarray) -> CoTrained | None:
+        known = ~np.isnan(label)
+        return co_train(view[known], meta[known], label[known], view[pool], meta[pool], rounds, held=held[known]) if known.any() else None
+
+    good = model(text, y)
+    bad = model(toxic_view(text, told), toxic)
+    del text, told, meta
     C.give_back()
-    return model
+    return Judge(good, bad, telling) if good or bad else None
 
 
-def score(docs: DataFrame, model: CoTrained | None, cutoff: float = 0.5, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """d, score, text_score, meta_score, accepted for every row; with keep, the accepted rows of docs instead.
+def score(docs: DataFrame, model: Judge | None, cutoff: float = 0.5, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """d, score, text_score, meta_score (of good quality), toxic_score, accepted for every row; with keep, the accepted
+    rows of docs instead. Accepted are those of a score of `cutoff` or more and a toxic score below it.
 
-    A null text is empty and null metadata are a value of their own. Without a model every row scores 1. Rows that
-    repeat get the same score; columns missing from docs count as null. An empty table gives an empty one.
+    A null text is empty and null metadata are a value of their own. Without a model every row scores 1, toxic 0. Rows
+    that repeat get the same score; columns missing from docs count as null. An empty table gives an empty one.
     """
     C.ship(docs.sparkSession)
 
     def scored(b):
-        t = text_features(b["text"].cast(pa.binary()).to_pylist())
-        m = meta_features(b["lang"].to_pylist(), b["source"].to_pylist(), b["n_chars"].to_pylist())
-        return model.score(t, m) if model else (np.ones(len(t)),) * 3
+        s = (model or Judge(None, None, np.zeros(0, np.uint64))).score(b["text"].cast(pa.binary()).to_pylist(), meta_features(b["lang"].to_pylist(), b["source"].to_pylist(), b["n_chars"].to_pylist()))
+        return *s, (s[0] >= cutoff) & (s[3] < cutoff)
 
     if not keep:
 
         def run(batches):
             C.only_kept(())
             for b in C.slices(batches):
-                s = scored(b)
-                yield pa.record_batch([b["d"], *map(pa.array, s), pa.array(s[0] >= cutoff)], names=["d", "score", "text_score", "meta_score", "accepted"])
+                yield pa.record_batch([b["d"], *map(pa.array, scored(b))], names=["d", "score", "text_score", "meta_score", "toxic_score", "accepted"])
 
-        return _view_columns(docs, id_col, text_col).mapInArrow(run, "d long, score double, text_score double, meta_score double, accepted boolean")
+        return _view_columns(docs, id_col, text_col).mapInArrow(run, "d long, score double, text_score double, meta_score double, toxic_score double, accepted boolean")
 
     names = list(docs.columns)
     wide = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names may clash, be odd or be missing
@@ -227,7 +324,7 @@ def score(docs: DataFrame, model: CoTrained | None, cutoff: float = 0.5, id_col:
         for b in C.slices(batches):
             column = lambda c, kind: b.column(names.index(c)).cast(kind) if c in names else pa.nulls(b.num_rows, kind)  # noqa: B023, E731
             s = scored({"text": column(text_col, pa.string()).fill_null(""), "lang": column("lang", pa.string()), "source": column("source", pa.string()), "n_chars": column("n_chars", pa.float64())})
-            yield from pa.Table.from_batches([b]).filter(pa.array(s[0] >= cutoff)).to_batches()
+            yield from pa.Table.from_batches([b]).filter(pa.array(s[-1])).to_batches()
 
     return wide.mapInArrow(filtered, wide.schema).toDF(*names)
 
@@ -235,4 +332,4 @@ def score(docs: DataFrame, model: CoTrained | None, cutoff: float = 0.5, id_col:
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return found.select(C.id_back().alias("doc_id"), "score", "text_score", "meta_score", "accepted")
+    return found.select(C.id_back().alias("doc_id"), "score", "text_score", "meta_score", "toxic_score", "accepted")

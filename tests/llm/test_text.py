@@ -1,6 +1,7 @@
 """Token counts, packing, chat formatting, sharding, quality."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -293,8 +294,39 @@ def test_quality(spark, sf_dir):
     sf_dir = sf_dir.replace("sf0.001", "sf0.01")
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     train, held = labels.where("doc_id % 3 > 0"), labels.where("doc_id % 3 = 0")
-    got = quality.score(docs, quality.fit(docs, train)).select(F.col("d").alias("doc_id"), "accepted").join(held, "doc_id").collect()
-    assert len(got) > 100 and np.mean([r["accepted"] == (r["quality"] == 1) for r in got]) > 0.95
+    got = quality.score(docs, quality.fit(docs, train)).select(F.col("d").alias("doc_id"), "score", "toxic_score", "accepted").join(held, "doc_id").collect()
+    assert len(got) > 100 and np.mean([(r["score"] >= 0.5) == (r["quality"] == 1) for r in got]) > 0.95
+    assert all(r["accepted"] == (r["score"] >= 0.5 and r["toxic_score"] < 0.5) for r in got)
+
+
+def test_quality_finds_toxic_documents(spark, sf_dir):
+    """Held out, on the largest tables, as few documents are toxic: most are found, hardly any other is taken for one."""
+    sf_dir = sf_dir.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    train, held = labels.where("doc_id % 3 > 0"), labels.where("doc_id % 3 = 0")
+    got = quality.score(docs, quality.fit(docs, train)).select(F.col("d").alias("doc_id"), "toxic_score").join(held, "doc_id").collect()
+    found = {k: np.mean([r["toxic_score"] >= 0.5 for r in got if r["toxic"] == k]) for k in (0, 1)}
+    assert found[1] > 0.8 and found[0] < 0.01
+
+
+def test_beginnings_of_words():
+    texts = [b"", b"Trashy trash", "réeux, ab".encode(), b"xx scum"]
+    h, owner = quality.beginnings(texts)
+    plain = [(i, w.lower()[:k]) for i, t in enumerate(texts) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", t) for k in (4, 6, 8) if len(w) >= k]
+    assert sorted(owner.tolist()) == sorted(i for i, _ in plain)
+    assert len(set(h.tolist())) == len({w for _, w in plain})
+    telling = np.sort(np.unique(h[owner == 1]))
+    assert quality.telling_features(texts, telling).sum(1).tolist() == [0, len(telling), 0, 0]
+    assert quality.telling_features([], telling).shape == (0, len(telling)) and quality.telling_features(texts, telling[:0]).shape == (4, 0)
+
+
+def test_quality_of_one_label_only(spark):
+    """Either label may be missing, or hold one class: then its model doesn't judge."""
+    docs = spark.createDataFrame([(i, f"word{i % 7} trash scum" if i % 5 == 0 else f"word{i % 7} good text") for i in range(200)], "doc_id long, text string")
+    toxic = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, toxic)
+    assert model.good is None and {r["d"] for r in quality.score(docs, model).where("not accepted").collect()} == set(range(0, 200, 5))
+    assert quality.fit(docs, toxic.drop("toxic")) is None and quality.fit(docs, toxic.drop("quality")).toxic is not None
 
 
 def test_quality_stands_odd_rows(spark):
