@@ -279,7 +279,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", toxic_co
         return None
     y, toxic = (np.array([np.nan if v is None else v for v in got[c].to_pylist()]) for c in ("y", "toxic"))
     held = np.array(got["held"].to_pylist(), bool)
-    text, told, meta = (np.frombuffer(b"".join(got[c].to_pylist()), kind).reshape(len(got), -1) for c, kind in (("text", np.float32), ("told", np.uint8), ("meta", np.float32)))
+
+    def matrix(name: str, kind: type, width: int) -> np.ndarray:
+        out, at = np.empty((len(got), width), kind), 0
+        for chunk in got[name].chunks:  # some rows at a time, as the driver's memory is small
+            out[at : at + len(chunk)] = np.frombuffer(b"".join(chunk.to_pylist()), kind).reshape(len(chunk), width)
+            at += len(chunk)
+        return out
+
+    text, told, meta = matrix("text", np.float32, _TEXT_WIDTH), matrix("told", np.uint8, len(telling)), matrix("meta", np.float32, _META_WIDTH)
     del got
     pool = np.isnan(y) & np.isnan(toxic)
 
@@ -288,7 +296,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", toxic_co
         return co_train(view[known], meta[known], label[known], view[pool], meta[pool], rounds, held=held[known]) if known.any() else None
 
     good = model(text, y)
-    bad = model(toxic_view(text, told), toxic)
+    text = toxic_view(text, told)
+    bad = model(text, toxic)
     del text, told, meta
     C.give_back()
     return Judge(good, bad, telling) if good or bad else None
