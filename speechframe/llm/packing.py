@@ -7,10 +7,10 @@ round no longer saves anything. A row is a bin with its pieces (ids and lengths,
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
 from bisect import bisect_left, insort
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from . import common as C
 
 #: Bytes of strings and their ids that a Python worker keeps at most, with _ENTRY_BYTES for what Python adds to each; what
 #: one call needs comes on top.
-_CACHE_BYTES, _ENTRY_BYTES = 350_000_000, 600
+_CACHE_BYTES, _ENTRY_BYTES = 75_000_000, 240
 #: As in the tokenizer's own split; special strings are cut out before.
 _WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
@@ -37,23 +37,29 @@ class WordTokenizer:
         import regex
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
-        self.normalise = self.library.normalizer.normalize_str
+        self.path = path
+        self.model = Tokenizer.from_file(path)
+        self.normalise = self.model.normalizer.normalize_str
         self.words_in = regex.compile(_WORD_PATTERN).findall
-        self.special = regex.compile("|".join(regex.escape(t.content) for t in self.library.get_added_tokens_decoder().values())).search
+        self.special = regex.compile("|".join(regex.escape(t.content) for t in self.model.get_added_tokens_decoder().values())).search
         self.odd = re.compile(r"[\x1c-\x1f\x85\xa0]").search  # white space that not all take for it
         # For words, normalised and with a space between them: the same model without the work already done.
-        self.model = Tokenizer.from_file(path)
         self.model.normalizer = normalizers.Sequence([])
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        mark = json.loads(self.model.to_str())["model"]["end_of_word_suffix"] or ""
+        mark = self.model.model.end_of_word_suffix or ""
         ids = self.model.get_vocab()
         self.ends_word = np.zeros(max(ids.values()) + 1, bool)
         self.ends_word[[i for token, i in ids.items() if mark and token.endswith(mark)]] = True
-        self.words: dict[str, bytes] = {}
-        self.strings: dict[str, bytes] = {}
+        self.strings: dict[str, bytes] = {}  # and words, as a word alone is a string of the same ids
         self.held = 0
 
+    @cached_property
+    def library(self):
+        """The tokenizer as it is, about 30 MB, which only texts with a special string need."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def split(self, text: str) -> list[str]:
         """The normalised text's strings between spaces."""
         if not self.odd(text):
@@ -75,7 +81,8 @@ class WordTokenizer:
     def learn(self, strings: set[str]) -> None:
         """Afterwards self.strings has the ids of all of these."""
         new = {x: self.parts(x) for x in strings}
-        words = [w for w in dict.fromkeys(w for ws in new.values() for w in ws) if w not in self.words]
+        known = self.strings
+        words = [w for w in dict.fromkeys(w for ws in new.values() for w in ws) if w not in known]
         for at in range(0, len(words), 50_000):
             part = words[at : at + 50_000]
             text = " ".join(part)
@@ -86,9 +93,11 @@ class WordTokenizer:
                 ends = np.searchsorted(np.array(e.word_ids), np.arange(len(part)), side="right")
             ends = (4 * ends).tolist()
             raw = ids.tobytes()
-            self.words.update((w, raw[i:j]) for w, i, j in zip(part, [0, *ends], ends, strict=False))
-        known = self.words
-        self.strings.update((x, known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])) for x, ws in new.items())
+            known.update((w, raw[i:j]) for w, i, j in zip(part, [0, *ends], ends, strict=False))
+            self.held += sum(_ENTRY_BYTES + len(w) for w in part) + len(raw)
+        several = {x: b"".join([known[w] for w in ws]) for x, ws in new.items() if len(ws) != 1}
+        known.update(several)
+        self.held += sum(_ENTRY_BYTES + len(x) + len(ids) for x, ids in several.items())
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
@@ -100,10 +109,9 @@ class WordTokenizer:
             new = {split[k][i] for k, at in gaps for i in at}
             if self.held > _CACHE_BYTES:
                 known.clear()
-                self.words.clear()
+                C.give_back()
                 self.held = 0
             self.learn(new)
-            self.held += sum(_ENTRY_BYTES + 4 * len(x) + 2 * len(known[x]) for x in new)
             for k, at in gaps:
                 f, s = found[k], split[k]
                 for i in at:
