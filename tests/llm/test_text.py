@@ -344,3 +344,15 @@ def test_quality_stands_odd_rows(spark):
     empty = cases.documents(spark, [])
     assert quality.fit(empty, labels) is None and quality.score(empty, model).count() == 0
     assert quality.score(docs.select("doc_id", "text"), model).count() == len(rows)
+
+
+def test_words_met_once_are_not_forgotten_early(libraries, monkeypatch):
+    monkeypatch.setattr(packing, "_CACHE_BYTES", 16_000)  # room for a hundred strings of 10 to 20 bytes with their ids, by what they take
+    encode = packing.WordTokenizer(WORDS)
+    learnt, learn = [], encode.learn
+    monkeypatch.setattr(encode, "learn", lambda strings: (learnt.append(len(strings)), learn(strings)))
+    common = " ".join("word" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(70))
+    texts = [common, "einmal\x7f é\x00 ça", common, "noch, eines.", common]
+    got = [encode([t])[0] for t in texts]
+    assert got == [np.array(libraries[1].encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert learnt == [70, 3, 2]
