@@ -26,6 +26,19 @@ _CACHE_BYTES, _ENTRY_BYTES = 75_000_000, 125
 _WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 
+class _Spelling(dict):
+    """Of a character, by the library's byte level: a character for each byte, as in the vocabulary."""
+
+    def __init__(self):
+        from tokenizers import pre_tokenizers
+
+        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+
+    def __missing__(self, x: str) -> str:
+        self[x] = out = self.byte_level(x)[0][0]
+        return out
+
+
 class WordTokenizer:
     """Ids of whole texts as the library gives them, with a bounded memory of strings met before.
 
@@ -35,16 +48,16 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.normalise = self.model.normalizer.normalize_str
         self.words_in = regex.compile(_WORD_PATTERN).findall
         self.special = regex.compile("|".join(regex.escape(t.content) for t in self.model.get_added_tokens_decoder().values())).search
         self.odd = re.compile(r"[\x1c-\x1f\x85\xa0]").search  # white space that not all take for it
-        # For words, normalised already: the library's byte level and its model, without a pipeline around each.
+        # For words, normalised already: the library's byte level and its model, without a pipeline around them.
         self.merge = self.model.model.tokenize
-        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = _Spelling()
         self.codes = [i.to_bytes(4, "little") for i in range(max(self.model.get_vocab().values()) + 1)]
         self.strings: dict[str, bytes] = {}  # and words, as a word alone is a string of the same ids
         self.held = 0
@@ -67,25 +80,26 @@ class WordTokenizer:
             return [x[:-1], x[-1]]
         return self.words_in(x)
 
-    def spelt(self, word: str) -> str:
-        """The word with a character for each byte, as in the vocabulary; printable ASCII stays."""
-        return word if word.isascii() and word.isprintable() else self.byte_level(word)[0][0]
-
     def learn(self, strings: set[str]) -> None:
-        """Afterwards self.strings has the ids of all of these."""
-        known, merge, spelt, codes = self.strings, self.merge, self.spelt, self.codes
-        words, several = {}, {}
+        """Afterwards self.strings has the ids of all of these, of which it has none yet."""
+        known, merge, spelt, codes = self.strings, self.merge, self.spelling.__getitem__, self.codes
+        words, several, before, held = {}, [], len(known), 0
         for x in strings:
             if x.isalpha():
                 words[x] = None
             else:
-                several[x] = ws = self.parts(x)
-                words.update(dict.fromkeys(ws))
-        new = {w: b"".join([codes[t.id] for t in merge(spelt(w))]) for w in words if w not in known}
-        known.update(new)
-        new = new | {x: b"".join([known[w] for w in ws]) for x, ws in several.items() if len(ws) != 1}
-        known.update(new)
-        self.held += _ENTRY_BYTES * len(new) + sum(map(len, new)) + sum(map(len, new.values()))
+                several.append((x, ws := self.parts(x)))
+                for w in ws:
+                    if w not in known:
+                        words[w] = None
+        for w in words:
+            known[w] = ids = b"".join([codes[t.id] for t in merge(w if w.isascii() and w.isprintable() else "".join(map(spelt, w)))])
+            held += len(w) + len(ids)
+        for x, ws in several:
+            if len(ws) != 1:
+                known[x] = ids = b"".join([known[w] for w in ws])
+                held += len(x) + len(ids)
+        self.held += held + _ENTRY_BYTES * (len(known) - before)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
