@@ -10,6 +10,7 @@ import uuid
 from contextlib import contextmanager
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,8 @@ def cut(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if (level := len(_open) - lasting) > 0:
         _open[level - 1].append(path)
+    if grown(df.sparkSession):
+        release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -75,10 +78,36 @@ def scratch(spark: SparkSession):
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Share of the heap that the driver's JVM may have, from which it is made to collect.
+LARGE_HEAP = 0.6
+
+
+def grown(spark: SparkSession) -> bool:
+    """Whether the driver's JVM has taken that much; by itself it takes all before it looks for what a step left."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    return runtime.totalMemory() > LARGE_HEAP * runtime.maxMemory()
+
+
+def trim(spark: SparkSession) -> bool:
+    """What the driver's JVM freed outside its heap, as its compilers do, goes back to the system. False where the JVM
+    offers no such thing."""
+    jvm, arguments = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        call = arguments(jvm.java.lang.Object, 4)  # no arguments of the command's own
+        call[0], call[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        return "Trim" in str(invoke.invoke(beans, call))
+    except Py4JError:
+        return False
+
+
 def release(spark: SparkSession) -> None:
-    """Files of shuffles go when the driver finds that nothing refers to them; else that may be half an hour later."""
+    """Files of shuffles go when the driver finds that nothing refers to them; else that may be half an hour later. So
+    does memory that the driver no longer needs."""
     gc.collect()
     spark._jvm.System.gc()
+    trim(spark)
 
 
 #: Bytes up to which a table is broadcast; larger ones are joined by shuffle.

@@ -15,7 +15,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     the logarithm of a component's size; `rounds` is only a guard, and running out of it raises an error.
     """
     with C.scratch(edges.sparkSession):
-        return C.cut(_settled(edges, rounds), "roots", lasting=True)
+        roots = C.cut(_settled(edges, rounds), "roots", lasting=True)
+    C.release(edges.sparkSession)
+    return roots
 
 
 def _settled(edges: DataFrame, rounds: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """Token counts, packing, chat formatting, sharding, quality."""
 
+import platform
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from speechframe.llm import chat_format, packing, quality, sharding, token_counts
+from speechframe.llm import chat_format, common, packing, quality, sharding, token_counts
 
 from . import cases
 
@@ -356,3 +357,27 @@ def test_words_met_once_are_not_forgotten_early(libraries, monkeypatch):
     got = [encode([t])[0] for t in texts]
     assert got == [np.array(libraries[1].encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert learnt == [70, 3, 2]
+
+
+def test_quality_is_fitted_off_the_driver(spark, monkeypatch):
+    """The driver, whose memory is small, gets the models alone: neither rows nor matrices."""
+
+    def here(*_, **__):
+        raise AssertionError("fitted in the driver's process")
+
+    docs = spark.createDataFrame([(i, f"word{i % 7} trash scum" if i % 5 == 0 else f"word{i % 7} good text") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(200)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "co_train", here)
+    monkeypatch.setattr(type(docs), "toArrow", here)
+    model = quality.fit(docs, labels)
+    assert {r["d"] for r in quality.score(docs, model).where("not accepted").collect()} == set(range(0, 200, 5))
+
+
+def test_the_driver_gives_back_memory(spark, monkeypatch):
+    """A table that is cut makes a driver whose heap has grown collect; what is freed outside the heap goes back too."""
+    freed = []
+    monkeypatch.setattr(common, "release", freed.append)
+    for share, times in ((1.0, 0), (0.0, 1)):
+        monkeypatch.setattr(common, "LARGE_HEAP", share)
+        assert common.cut(spark.range(3), "some").count() == 3 and len(freed) == times
+    assert common.trim(spark) or "glibc" not in platform.libc_ver()
